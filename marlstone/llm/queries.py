@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, decontaminate
+from marlstone.llm import chat, common, decontaminate, sharding, token_file
 
 OP1_SQL = """
 WITH d AS (
@@ -31,6 +31,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(13 + length(role) + n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
@@ -38,9 +52,36 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(common.table(spark, sf_dir, "documents"), 40)
+    size = sharding.row_size(F.col("text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    out = common.scratch_path(spark, "tokens")
+    files = token_file.write_tokens(common.table(spark, sf_dir, "documents"), out, tokenizer)
+    return token_file.read_tokens(spark, out, files)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, s AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r) CROSS JOIN (SELECT :said AS s)", {"said": said})
+    chosen = chat.best_paths(chat.chains(given.unionByName(own)))
+    formatted = common.materialise(chat.format_paths(chosen), "conversations")
+    read = chat.read_back(formatted)
+    return read.select(F.expr("try_cast(tree AS BIGINT)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination}
+    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op6_token_file, op8_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op8_chat": OP8_SQL}
