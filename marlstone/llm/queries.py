@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, common, decontaminate, sharding, token_file
+from marlstone.llm import chat, common, decontaminate, quality, sharding, token_file, toxicity
 
 OP1_SQL = """
 WITH d AS (
@@ -79,8 +79,22 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.expr("try_cast(tree AS BIGINT)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, chain)
+    cut = chain.thresholds[chain.categories.index("toxic")]
+    return scored.select("doc_id", *(f"p_{c}" for c in chain.categories), (F.col("p_toxic") >= cut).alias("toxic"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", *quality.METADATA)
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "p_quality", (F.col("p_quality") >= model.threshold).alias("keep"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op6_token_file, op8_chat)}
+    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
