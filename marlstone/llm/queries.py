@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, common, decontaminate, quality, sharding, token_file, toxicity
+from marlstone.llm import chat, common, decontaminate, quality, sentencepiece_bpe, sharding, token_file, toxicity
 
 OP1_SQL = """
 WITH d AS (
@@ -52,6 +52,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Per document the count and checksum of its ids, and whether they decode to the text itself."""
+    model = model or public_tokenizer("piece_bpe_32k.model")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model)
+    crc = F.crc32(F.array_join(F.col("pieces"), ","))
+    return both.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), crc.alias("pieces_crc32"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(common.table(spark, sf_dir, "documents"), 40)
     size = sharding.row_size(F.col("text"))
@@ -60,10 +75,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = tokenizer or public_tokenizer("byte_bpe_50k.json")
     out = common.scratch_path(spark, "tokens")
     files = token_file.write_tokens(common.table(spark, sf_dir, "documents"), out, tokenizer)
     return token_file.read_tokens(spark, out, files)
@@ -94,7 +106,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_sharding, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
