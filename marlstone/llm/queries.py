@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, common, decontaminate, quality, sentencepiece_bpe, sharding, token_file, toxicity
+from marlstone.llm import chat, common, decontaminate, near_dedup, quality, sentencepiece_bpe, sharding, token_file, toxicity
 
 OP1_SQL = """
 WITH d AS (
@@ -91,6 +91,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.expr("try_cast(tree AS BIGINT)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = near_dedup.classes(common.table(spark, sf_dir, "documents"))
+    return named.select("doc_id", "class_id", "class_size")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
@@ -106,7 +111,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op4_near_dedup, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
