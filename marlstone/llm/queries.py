@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, common, decontaminate, near_dedup, quality, sentencepiece_bpe, sharding, token_file, toxicity
+from marlstone.llm import ann, chat, common, decontaminate, near_dedup, quality, sentencepiece_bpe, sharding, token_file, toxicity
 
 OP1_SQL = """
 WITH d AS (
@@ -81,6 +81,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return token_file.read_tokens(spark, out, files)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -111,7 +115,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op4_near_dedup, op5_toxicity, op6_token_file, op8_chat, op9_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op4_near_dedup, op5_toxicity, op6_token_file, op7_neighbours, op8_chat, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
