@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, chat, common, decontaminate, near_dedup, quality, sentencepiece_bpe, sharding, token_file, toxicity
+from marlstone.llm import ann, chat, common, decontaminate, near_dedup, pitman_yor, quality, sentencepiece_bpe, sharding, token_file, toxicity
 
 OP1_SQL = """
 WITH d AS (
@@ -114,8 +114,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "p_quality", (F.col("p_quality") >= model.threshold).alias("keep"))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score(common.table(spark, sf_dir, "documents"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % pitman_yor.MODULUS == pitman_yor.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op4_near_dedup, op5_toxicity, op6_token_file, op7_neighbours, op8_chat, op9_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_sharding, op4_near_dedup, op5_toxicity, op6_token_file, op7_neighbours, op8_chat, op9_quality, op10_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
