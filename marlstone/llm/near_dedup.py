@@ -12,11 +12,12 @@ similarity, and equal to it where shared shingles stand in the same order. Texts
 or more are linked, and classes are the connected components of the links.
 
 Only distinct texts are compared: copies share a node, the digest of their text. In a bucket every
-member is aligned with the member of the largest degree; members that then still lie in different
-components go on in further rounds, all with each other in small buckets, with a few further hubs in
-large ones, until every bucket is one component or all its pairs are done. So no link between members
-of a bucket is lost, no pair within a component is compared needlessly, and no bucket is expanded
-into all pairs while it is large.
+member is aligned with the member of the largest degree, then those outside the bucket's commonest
+component with HUBS random members inside it. What then still lies in different components is compared in
+all pairs, but for pairs that cannot reach THRESHOLD: shingles that a text has alone are in no alignment, so
+n less their number bounds it. The edits of copies are mostly their own, so this leaves few pairs of even
+a large family. No link between members of a bucket is lost, and no pair within a component is compared
+needlessly.
 
 Defined cases: null texts are copies of each other and of nothing else; texts without words are equal
 to exact copies only; a text of 1 to 4 words is one shingle; repeated rows are copies; a null doc_id
@@ -39,8 +40,7 @@ from marlstone.llm import common
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES, TUPLE = 20, 4
-#: Buckets up to this size are compared pairwise in one round; larger ones by this many hubs a round.
-SMALL, HUBS = 24, 4
+HUBS = 4
 
 #: Texts that a task takes apart together.
 SLICE = 1000
@@ -86,21 +86,28 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
 _SEEDS = _G * np.arange(1, SKETCHES + 1, dtype=np.uint64)[:, None]
 
 
+def labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with the number of their earlier occurrences."""
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[:n]
+    at = np.arange(n)
+    out = np.empty(n, np.uint64)
+    if n:
+        out[order] = ranked + _G * (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return _mix(out)
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """A key for each of SKETCHES hash functions; none for no shingles."""
     n = len(hashes)
     if n == 0:
         return np.zeros(0, np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.append(True, ranked[1:] != ranked[:-1])
-    at = np.arange(n)
-    labelled = np.empty(n, np.uint64)
-    labelled[order] = ranked + _G * (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    labelled = _mix(labelled)
+    marked = labelled(hashes)
     t = min(TUPLE, n)
-    least = np.argpartition(_mix(labelled ^ _SEEDS), t - 1, axis=1)[:, :t]
-    chosen = labelled[np.sort(least, axis=1)]  # back in text order
+    least = np.argpartition(_mix(marked ^ _SEEDS), t - 1, axis=1)[:, :t]
+    chosen = marked[np.sort(least, axis=1)]  # back in text order
     keys = _SEEDS[:, 0].copy()
     for i in range(t):
         keys = _mix(keys + chosen[:, i] + _G)
@@ -162,19 +169,20 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, bucket), a row for each of a text's keys."""
+    """(node, n, keys) of each distinct text with words: its number of shingles and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
-            ids, keys = [], []
+            ids, sizes, keys = [], [], []
             for node, s in zip(b.column(0).to_pylist(), shingles(b.column(1))):
                 if len(s):
                     k = sketch(s)
                     ids.append(node)
+                    sizes.append(len(s))
                     keys.append(np.concatenate([_mix(k + (_G * np.array([c], np.int64).astype(np.uint64))) for c in length_classes(len(s))]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    found = nodes(docs).select("__node", "text").mapInArrow(run, "node binary, keys array<long>")
+    found = nodes(docs).select("__node", "text").mapInArrow(run, "node binary, n long, keys array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -210,37 +218,65 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _opened(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their own and the bucket's commonest component."""
+    at = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", True).alias("top"))
+    return common.materialise(at.join(per.where("lo <> hi").select("bucket", "top"), "bucket"), "open")
+
+
+def unique_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, q): how many labelled shingles of each wanted node no other wanted node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
+            found = [labelled(s).view(np.int64) for s in shingles(b.column(1))]
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))})
+
+    texts = nodes(docs).select("__node", "text").join(wanted.select(F.col("node").alias("__node")), "__node", "left_semi").dropDuplicates(["__node"])
+    rows = texts.mapInArrow(run, "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
+    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("q"))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(node, comp) of the distinct texts that have a similar other; the components of all links."""
-    keyed = common.materialise(sketches(docs), "sketches").select("node", F.explode("keys").alias("bucket"))
+    found = common.materialise(sketches(docs), "sketches")
+    keyed = found.select("node", F.explode("keys").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keyed.join(sizes, "bucket")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = common.materialise(members.join(degree, "node").select("bucket", "node", "degree"), "members")
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], "a binary, b binary")
-    tested, linked, comp = none, none, None
-    first = True
-    while not members.isEmpty():
-        # a bucket: its size, whether it still holds several components, and its hubs
-        at = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        hubs = [F.max_by("node", F.struct("degree", "node"))] + ([] if first else [F.max_by("node", F.xxhash64("node", F.lit(i))) for i in range(1, HUBS)])
-        per = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*hubs)).alias("hubs"))
-        open_ = common.materialise(per.where("lo <> hi"), "open")
-        at = common.materialise(at.join(open_.select("bucket", "n", "hubs"), "bucket"), "at")
-        small = at.where(F.lit(not first) & (F.col("n") <= SMALL)).select("bucket", "node", "comp")
-        large = at.where(F.lit(first) | (F.col("n") > SMALL)).select("bucket", "node", "comp", F.explode("hubs").alias("hub"))
-        own = F.col("comp").alias("other_comp")
-        pairs = small.join(small.select("bucket", F.col("node").alias("other"), own), "bucket").where("node < other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.union(large.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        pairs = common.materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = common.materialise(verify(pairs, docs), "links")
-        tested, linked = tested.union(pairs), linked.union(found)
-        if not found.isEmpty():
-            comp = components(linked)
-        members = common.materialise(at.where(F.lit(first) | (F.col("n") > SMALL)).where(~F.array_contains("hubs", F.col("node"))).select("bucket", "node", "degree"), "members")
-        first = False
-    return comp if comp is not None else spark.createDataFrame([], "node binary, comp binary")
+
+    # 1. every member with the one of the largest degree: of a family of copies, the one that all come from
+    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    tested = common.materialise(_ordered(members.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pairs")
+    linked = common.materialise(verify(tested, docs), "links")
+
+    # 2. members outside a bucket's commonest component with a few members inside it
+    at = _opened(members, components(linked))
+    hubs = at.where("comp = top").groupBy("bucket").agg(F.array_distinct(F.array(*(F.max_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)))).alias("hubs"))
+    pairs = at.where("comp <> top").join(hubs, "bucket").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
+    pairs = common.materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+    linked = linked.union(common.materialise(verify(pairs, docs), "links"))
+    tested = tested.union(pairs)
+
+    # 3. all pairs that are left in different components, but for those that cannot be similar
+    at = _opened(members, components(linked))
+    q = unique_shingles(docs, at.select("node").distinct())
+    share = THRESHOLD / (1 + THRESHOLD)  # of n + m, the least alignment
+    size = found.select("node", "n", "keys").join(at.select("node").distinct(), "node", "left_semi").join(q, "node", "left")
+    # a text whose own shingles alone exceed what may differ is similar to none
+    size = size.select("node", "n", "keys", (F.col("n") - F.coalesce("q", F.lit(0))).alias("common")).where(F.col("common") >= THRESHOLD * F.col("n") - 1e-6)
+    viable = common.materialise(at.join(size, "node"), "viable")
+    left = viable.where("comp <> top").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "common", "keys")))
+    right = viable.select("bucket", "top", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n", "common", "keys")))
+    may = F.least("l_common", "r_common") >= share * (F.col("l_n") + F.col("r_n")) - 1e-6
+    once = F.array_min(F.array_intersect("l_keys", "r_keys")) == F.col("l_bucket")  # in the first bucket that both share
+    on = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("top")) | (F.col("l_node") < F.col("r_node"))) & may & once
+    rest = left.withColumnRenamed("bucket", "l_bucket").join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
+    rest = common.materialise(_ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return components(linked.union(common.materialise(verify(rest, docs), "links")))
 
 
 def classes(docs: DataFrame) -> DataFrame:

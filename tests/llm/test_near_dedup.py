@@ -116,9 +116,22 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
-def test_hubs_and_small_buckets_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(nd, "SMALL", 3)
-    texts = corpus()[:60]
+def test_a_family_without_a_centre_loses_nothing(spark, monkeypatch):
+    """Chains of edits, where only neighbours are similar, and a family of copies that mostly are not."""
+    monkeypatch.setattr(nd, "HUBS", 1)
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    t = [rng.choice(vocab) for _ in range(150)]
+    texts = []
+    for _ in range(14):
+        texts.append(" ".join(t))
+        t[rng.randrange(150)] = rng.choice(vocab)
+    base = [rng.choice(vocab) for _ in range(150)]
+    for _ in range(25):
+        c = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            c[rng.randrange(150)] = rng.choice(vocab)
+        texts.append(" ".join(c))
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], DOCS)
     assert {r.doc_id: r.class_id for r in nd.classes(docs).collect()} == dict(enumerate(brute(texts)))
 
