@@ -7,7 +7,7 @@ codes from a table of its products with every codeword, and the candidates of th
 RERANK scores (copies of a vector score alike) are scored on the original vectors, in
 double precision, component by component.
 
-Centroids and codewords are fitted on the driver on at most ``SAMPLE`` vectors, those of the least hash
+Centroids and codewords are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
 of vec_id; so is the number of lists to look into: the least that finds ``TARGET`` of the true
 neighbours within the sample. Every vector is indexed. Lists are laid out in chunks of at most
 about ``CHUNK`` vectors, a large list in several, and queries in blocks, so that a task holds one chunk and
@@ -133,7 +133,7 @@ def build(rows: DataFrame, k: int) -> tuple[Index | None, int]:
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     if dims is None:
         return None, 0
-    chosen = rows.where(F.size("v") == dims["d"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    chosen = common.hash_sample(rows.where(F.size("v") == dims["d"]), "vec_id", SAMPLE)
     sample = np.array([r["v"] for r in chosen.select("v").toLocalIterator()], np.float64)
     return fit(sample, dims["n"], float(dims["m"]) ** 0.5, k), dims["d"]
 

@@ -61,6 +61,14 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows, chosen by a hash of ``key``: rows far from the bound drop out where they are read."""
+    n, h = df.count(), F.xxhash64(key)
+    if n > 2 * bound:
+        df = df.where(F.pmod(h, F.lit(1 << 32)) < int(1.5 * bound / n * (1 << 32)))
+    return df.orderBy(h, key).limit(bound)
+
+
 def small_enough(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:
     """Whether a table is proven to fit a broadcast: its rows are counted, up to the bound, before."""
     bound = limit_bytes // row_bytes

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm import common
+
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 8)
 SYMBOLS = "!?#$%&*|@<>{}[]=+\\/~^_"
@@ -92,12 +94,12 @@ def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], di
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, names: dict[str, str], bound: int) -> DataFrame:
-    """At most ``bound`` labelled documents, those of the least hash of doc_id, with a column for each of
+    """At most ``bound`` labelled documents, chosen by a hash of doc_id, with a column for each of
     ``names`` (name: SQL over labels). Rows of labels with a null are left out; of several the largest counts."""
     labs = labels.select("doc_id", *(F.expr(sql).cast("double").alias(n) for n, sql in names.items())).dropna()
     labs = labs.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
     known = labs.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = common.hash_sample(known, "doc_id", bound)
     # a broadcast of at most ``bound`` rows of numbers
     return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 

@@ -41,6 +41,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 BUCKET, PARTS_PER, FLUSH = 16 << 20, 4, 3_000_000
 BURN, SAMPLES = 2, 3
 THETA = (1.0, 1.0)
+#: Partial sums of documents travel as whole numbers of these.
+BASE_UNIT, SCORE_UNIT = 1e-10, 1e-7
 #: Texts from which hot words are told; a word that is missed merely makes a bucket larger.
 SAMPLE_TEXTS = 500
 START, END = np.uint64(1), np.uint64(2)
@@ -124,24 +126,22 @@ def bucket_of(w: np.ndarray, u: np.ndarray, buckets: int, hot: dict[int, int]) -
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _segments(buckets: np.ndarray, w: np.ndarray, u: np.ndarray, row: np.ndarray, rows: np.ndarray, ids: list, n_buckets: int) -> tuple[list[bytes], list[int]]:
-    """A packed segment for each bucket; the numbers of those that have one."""
+def _segments(buckets: np.ndarray, w: np.ndarray, u: np.ndarray, row: np.ndarray, train: np.ndarray, n_buckets: int) -> list[bytes]:
+    """A packed segment for each bucket, empty where it has no tokens."""
     order = np.lexsort((u, w, buckets))
     buckets, w, u, row = buckets[order], w[order], u[order], row[order]
     bounds = np.searchsorted(buckets, np.arange(n_buckets + 1))
-    null = np.array([i is None for i in ids], np.uint8)
-    id_array = np.array([i or 0 for i in ids], np.int64)
-    train = np.array([learns(i) for i in ids], np.uint8)
-    out, which = [], []
+    out = []
     for b in range(n_buckets):
         s = slice(bounds[b], bounds[b + 1])
-        if bounds[b] < bounds[b + 1]:
-            ws, n = np.unique(w[s], return_counts=True)
-            us, ui = np.unique(u[s], return_inverse=True)
-            rs, ri = np.unique(row[s], return_inverse=True)
-            out.append(_pack(ws, _narrow(n), us, _narrow(ui), rows[rs], np.diff(id_array[rs], prepend=0), null[rs], train[rs], _narrow(ri)))
-            which.append(b)
-    return out, which
+        if bounds[b] == bounds[b + 1]:
+            out.append(b"")
+            continue
+        ws, n = np.unique(w[s], return_counts=True)
+        us, ui = np.unique(u[s], return_inverse=True)
+        rs, ri = np.unique(row[s], return_inverse=True)
+        out.append(_pack(ws, _narrow(n), us, _narrow(ui), rs.astype(np.uint64), train[rs], _narrow(ri)))
+    return out
 
 
 def _filesystem(uri: str):
@@ -157,22 +157,23 @@ def write_tokens(docs: DataFrame, out_dir: str, buckets: int, hot: dict[int, int
         task = TaskContext.get()
         store, base = _filesystem(out_dir)
         store.create_dir(base, recursive=True)
-        count, held, size = 0, [], 0
+        held, size = [], 0
         names = []
 
         def flush():
             nonlocal held, size
             w, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            rows, ids = np.concatenate([x[2] for x in held]), [i for x in held for i in x[3]]
+            ids = [i for x in held for i in x[2]]
             u = np.concatenate([[START], w[:-1]]).astype(np.uint64)
             u[u == END] = START
-            parts, which = _segments(bucket_of(w, u, buckets, hot), w, u, np.repeat(np.arange(len(n)), n), rows, ids, buckets)
-            sizes = np.zeros(buckets, np.int64)
-            sizes[which] = [len(p) for p in parts]
+            train = np.array([learns(i) for i in ids], np.uint8)
+            parts = _segments(bucket_of(w, u, buckets, hot), w, u, np.repeat(np.arange(len(n)), n), train, buckets)
+            # last, what is known of the documents themselves
+            parts.append(_pack(np.diff(np.array([i or 0 for i in ids], np.int64), prepend=0), np.array([i is None for i in ids], np.uint8), _narrow(n)))
             name = f"{task.partitionId():06d}-{len(names):04d}.seg"
             own = f"{base}/.{name}.{task.taskAttemptId()}"
             with store.open_output_stream(own) as f:
-                f.write(np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
+                f.write(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<i8").tobytes())
                 for p in parts:
                     f.write(p)
             store.move(own, f"{base}/{name}")
@@ -182,18 +183,16 @@ def write_tokens(docs: DataFrame, out_dir: str, buckets: int, hot: dict[int, int
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                w, n = tokens(part.column(2))
-                held.append((w, n, part.column(0).to_numpy().astype(np.uint64), part.column(1).to_pylist()))
+                w, n = tokens(part.column(1))
+                held.append((w, n, part.column(0).to_pylist()))
                 size += len(w)
-                count += len(n)
                 if size >= FLUSH:
                     flush()
         if held:
             flush()
         yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    written = common.materialise(numbered.mapInArrow(run, "name string"), "segments")
+    written = common.materialise(docs.select("doc_id", "text").mapInArrow(run, "name string"), "segments")
     return sorted(r["name"] for r in written.collect())  # one name a file
 
 
@@ -209,26 +208,31 @@ class Bucket:
     token_pair: np.ndarray
     token_row: np.ndarray
     token_file: np.ndarray
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    rows: list[np.ndarray]
 
 
-def read_bucket(out_dir: str, names: list[str], b: int, buckets: int) -> Bucket:
+def _segment(out_dir: str, name: str, b: int, buckets: int) -> list[np.ndarray] | None:
+    """The arrays of one of a file's segments; that of number ``buckets`` tells of its documents."""
     store, base = _filesystem(out_dir)
+    with store.open_input_file(f"{base}/{name}") as f:
+        start, end = (int(x) for x in np.frombuffer(f.read_at(16, 8 * b), "<i8"))
+        return _unpack(f.read_at(end - start, 8 * (buckets + 2) + start)) if end > start else None
+
+
+def read_bucket(out_dir: str, names: list[str], b: int, buckets: int) -> Bucket:
     ws, us, rs, fs_, ts, rows = [], [], [], [], [], []
     for k, name in enumerate(names):
-        with store.open_input_file(f"{base}/{name}") as f:
-            start, end = (int(x) for x in np.frombuffer(f.read_at(16, 8 * b), "<i8"))
-            if start == end:
-                rows.append((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)))
-                continue
-            blob = f.read_at(end - start, 8 * (buckets + 1) + start)
-        w, n, u, ui, r, d, null, train, ri = _unpack(blob)
+        found = _segment(out_dir, name, b, buckets)
+        if found is None:
+            rows.append(np.zeros(0, np.uint64))
+            continue
+        w, n, u, ui, r, train, ri = found
         ws.append(np.repeat(w, n))
         us.append(u[ui])
         rs.append(ri.astype(np.uint32))
         fs_.append(np.full(len(ri), k, np.uint32))
         ts.append(train[ri])
-        rows.append((r, np.cumsum(d), null))
+        rows.append(r)
     none = np.zeros(0, np.uint64)
     w, u = (np.concatenate(x) if x else none for x in (ws, us))
     words, wi = np.unique(w, return_inverse=True)
@@ -337,12 +341,17 @@ def seat(bk: Bucket, context_tables: np.ndarray, total: Totals, seed: list[int])
 UP = "q long, b long, blob binary"
 
 
+def _parts(contexts: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """The places of the sorted contexts in each part: a range of hashes, so that their differences stay small."""
+    part = ((contexts >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    bounds = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+    return [(q, np.arange(bounds[q], bounds[q + 1])) for q in range(parts)]
+
+
 def _requests(bk: Bucket, b: int, parts: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """By part of the contexts: their hashes and this bucket's sums of values over their pairs."""
     sums = [np.bincount(bk.pair_context, v, len(bk.contexts)) for v in values]
-    part = _mix(bk.contexts) % np.uint64(parts)
-    for q in range(parts):
-        own = np.flatnonzero(part == q)
+    for q, own in _parts(bk.contexts, parts):
         if len(own):
             yield q, b, _pack(bk.contexts[own], *(_narrow(s[own]) for s in sums))
 
@@ -359,13 +368,13 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _answers(bk: Bucket, group: pd.DataFrame, parts: int) -> list[np.ndarray]:
-    part = _mix(bk.contexts) % np.uint64(parts)
+    places = dict(_parts(bk.contexts, parts))
     out: list[np.ndarray] = []
     for q, blob in zip(group["q"], group["blob"]):
-        own = np.flatnonzero(part == np.uint64(q))
+        own = places[q]
         for i, v in enumerate(_unpack(blob)):
             if i == len(out):
-                out.append(np.zeros(len(part)))
+                out.append(np.zeros(len(bk.contexts)))
             out[i][own] = v
     return out
 
@@ -376,7 +385,7 @@ def _discount(ones: float, twos: float) -> float:
 
 def hot_words(docs: DataFrame, buckets: int) -> dict[int, int]:
     """Words that would fill a good part of a bucket, with the number of buckets over which each is dealt."""
-    texts = [r[0] for r in docs.select("text", "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_TEXTS).select("text").collect()]
+    texts = [r[0] for r in common.hash_sample(docs.where("text is not null"), "doc_id", SAMPLE_TEXTS).select("text").collect()]
     counts: Counter = Counter()
     for i in range(0, len(texts), 50):
         w, n = np.unique(tokens(pa.array(texts[i : i + 50], pa.string()))[0], return_counts=True)
@@ -471,23 +480,23 @@ def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None) -> Da
         cw[own >= 0] = own[own >= 0]
         by_pair = (np.log10(mean), np.log10(cw + 1)[bk.pair_word], (cw > 0)[bk.pair_word].astype(np.float64))
         rows = []
-        for k, (ids, docs_of, null) in enumerate(bk.rows):
+        for k, ids in enumerate(bk.rows):
             if len(ids):
                 mine = bk.token_file == k
                 pair, row = bk.token_pair[mine], bk.token_row[mine]
                 lp, base, known = (np.bincount(row, v[pair], len(ids)) for v in by_pair)
-                rows.append((k, b, _pack(ids, np.diff(docs_of, prepend=0), null, _narrow(np.bincount(row, minlength=len(ids))), _narrow(known), base, lp)))
+                rows.append((k, b, _pack(ids, _narrow(known), np.rint(base / BASE_UNIT).astype(np.int64), np.rint(-lp / SCORE_UNIT).astype(np.int64))))
         return pd.DataFrame(rows, columns=["q", "b", "blob"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        parts_ = [_unpack(x) for x in group["blob"]]
-        rows = np.concatenate([x[0] for x in parts_])
-        distinct, where, at = np.unique(rows, return_index=True, return_inverse=True)
-        ids = np.concatenate([np.cumsum(x[1]) for x in parts_])[where]
-        null = np.concatenate([x[2] for x in parts_])[where].astype(bool)
-        n, known, base, lp = (np.bincount(at, np.concatenate([x[i] for x in parts_]), len(distinct)) for i in range(3, 7))
-        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_sum": base, "score": lp})
-        out.loc[null, "doc_id"] = pd.NA
+        ids, null, n = _segment(out_dir, names[int(group["q"].iloc[0])], buckets, buckets)
+        sums = np.zeros((3, len(n)), np.int64)
+        for blob in group["blob"]:  # a row is in a bucket's blob once
+            rows, *values = _unpack(blob)
+            for total_of, v in zip(sums, values):
+                total_of[rows.astype(np.int64)] += v.astype(np.int64)
+        out = pd.DataFrame({"doc_id": pd.array(np.cumsum(ids), "Int64"), "n_tokens": n.astype(np.int64), "n_known": sums[0], "base_sum": sums[1] * BASE_UNIT, "score": sums[2] * -SCORE_UNIT})
+        out.loc[null.astype(bool), "doc_id"] = pd.NA
         return out
 
     # rows of the third pass go together by the file that holds them

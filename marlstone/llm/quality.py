@@ -6,8 +6,8 @@ of which it is most sure, for the other to train on. Then each view is calibrate
 (Platt), and a linear model on both calibrated log-odds, fitted on the same held-out labels,
 combines them; a view that tells little so gets little weight.
 
-Fitting takes at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled documents, those of the
-least hash of doc_id. Every document is scored, over its whole text.
+Fitting takes at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled documents, chosen by a
+hash of doc_id. Every document is scored, over its whole text.
 
 Defined cases: null texts are empty; null metadata is a value of its own; without labels of both
 kinds the probability is the smoothed rate and nothing is rejected; repeated rows score alike;
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import features
+from marlstone.llm import common, features
 from marlstone.llm.linear import Logistic, Sparse, logit
 
 TRAIN_ROWS = 12_000
@@ -116,7 +116,7 @@ def _viewed(rows: DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     base = docs.select("doc_id", "text", *METADATA)
     known = _viewed(features.labelled_sample(base, labels, {"quality": "quality"}, TRAIN_ROWS).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0))
-    chosen = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL_ROWS)
+    chosen = common.hash_sample(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct(), "doc_id", POOL_ROWS)
     pool = _viewed(base.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
     return co_train(Views(known), known["quality"].to_numpy(np.float64), known["held"].to_numpy(bool), Views(pool))
 
