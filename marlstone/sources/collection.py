@@ -92,7 +92,7 @@ class Collection:
         c = cls(spark, path, name)
         if c.exists():
             raise Conflict(f"collection {name!r} exists")
-        c._write(f"{c.root}/_config.json", config.to_json())
+        c._write(f"{c.root}/config.json", config.to_json())
         c._save(spark.createDataFrame([], schema(config)), config)
         return c
 
@@ -110,7 +110,7 @@ class Collection:
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
     def exists(self) -> bool:
-        fs, p = self._fs(f"{self.root}/_config.json")
+        fs, p = self._fs(f"{self.root}/config.json")
         return fs.exists(p)
 
     def drop(self) -> None:
@@ -124,11 +124,11 @@ class Collection:
 
     @property
     def config(self) -> CollectionConfig:
-        return CollectionConfig.from_json(self._read(f"{self.root}/_config.json"))
+        return CollectionConfig.from_json(self._read(f"{self.root}/config.json"))
 
     # -- tables
     def _version(self) -> str:
-        return self._read(f"{self.root}/_version").strip()
+        return self._read(f"{self.root}/version").strip()
 
     def docs(self) -> DataFrame:
         return self.spark.read.schema(schema(self.config)).parquet(f"{self._version()}/docs")
@@ -145,7 +145,7 @@ class Collection:
             built = self.spark.createDataFrame([], "fv string, doc_id string, token string, weight double")
         # sorted by token within each vector, so that row groups without a query's tokens are skipped
         built.repartition("fv", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("fv", "token").write.partitionBy("fv").parquet(f"{version}/postings")
-        self._write(f"{self.root}/_version", version)
+        self._write(f"{self.root}/version", version)
 
     # -- writing
     def apply(self, ops: DataFrame) -> None:
