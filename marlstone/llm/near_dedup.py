@@ -41,6 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES, TUPLE = 20, 4
 HUBS = 4
+#: Lists of wanted texts below this are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: Texts that a task takes apart together.
 SLICE = 1000
@@ -200,10 +202,26 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "comp")
 
 
+def joined(comp: DataFrame, links_: DataFrame) -> DataFrame:
+    """(node, comp) after further links: only links between different components are followed."""
+    lone = links_.select(F.col("a").alias("node")).union(links_.select("b")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    every = comp.unionByName(lone)
+    ends = links_.join(every.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(every.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return common.materialise(every.join(merged, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "label")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(__node, text) of the wanted nodes (__node), each once. While they are few, texts of others are not moved."""
+    wanted = common.materialise(wanted, "wanted")
+    near = F.broadcast(wanted) if common.small_enough(wanted, BROADCAST_BYTES, 64) else wanted
+    return nodes(docs).select("__node", "text").join(near, "__node", "left_semi").dropDuplicates(["__node"])
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are similar."""
-    wanted = pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct()
-    texts = nodes(docs).select("__node", "text").join(wanted, "__node", "left_semi").dropDuplicates(["__node"])
+    texts = _texts(docs, pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct())
     left, right = texts.select(F.col("__node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("__node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +251,7 @@ def unique_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [labelled(s).view(np.int64) for s in shingles(b.column(1))]
             yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
-    texts = nodes(docs).select("__node", "text").join(wanted.select(F.col("node").alias("__node")), "__node", "left_semi").dropDuplicates(["__node"])
+    texts = _texts(docs, wanted.select(F.col("node").alias("__node")))
     rows = texts.mapInArrow(run, "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
     alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("q"))
@@ -251,18 +269,18 @@ def links(docs: DataFrame) -> DataFrame:
     # 1. every member with the one of the largest degree: of a family of copies, the one that all come from
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     tested = common.materialise(_ordered(members.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pairs")
-    linked = common.materialise(verify(tested, docs), "links")
+    comp = components(common.materialise(verify(tested, docs), "links"))
 
     # 2. members outside a bucket's commonest component with a few members inside it
-    at = _opened(members, components(linked))
+    at = _opened(members, comp)
     hubs = at.where("comp = top").groupBy("bucket").agg(F.array_distinct(F.array(*(F.max_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)))).alias("hubs"))
     pairs = at.where("comp <> top").join(hubs, "bucket").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
     pairs = common.materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    linked = linked.union(common.materialise(verify(pairs, docs), "links"))
+    comp = joined(comp, common.materialise(verify(pairs, docs), "links"))
     tested = tested.union(pairs)
 
     # 3. all pairs that are left in different components, but for those that cannot be similar
-    at = _opened(members, components(linked))
+    at = _opened(members, comp)
     q = unique_shingles(docs, at.select("node").distinct())
     share = THRESHOLD / (1 + THRESHOLD)  # of n + m, the least alignment
     size = found.select("node", "n", "keys").join(at.select("node").distinct(), "node", "left_semi").join(q, "node", "left")
@@ -276,7 +294,7 @@ def links(docs: DataFrame) -> DataFrame:
     on = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("top")) | (F.col("l_node") < F.col("r_node"))) & may & once
     rest = left.withColumnRenamed("bucket", "l_bucket").join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
     rest = common.materialise(_ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
-    return components(linked.union(common.materialise(verify(rest, docs), "links")))
+    return joined(comp, common.materialise(verify(rest, docs), "links"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
