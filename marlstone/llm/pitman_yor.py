@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from marlstone.llm import common
 
 SPACES = r"[\x20\x09-\x0D]+"
-BUCKET, PARTS_PER, FLUSH = 16 << 20, 4, 3_000_000
+BUCKET, PARTS_PER, FLUSH = 24 << 20, 4, 3_000_000
 BURN, SAMPLES = 2, 3
 THETA = (1.0, 1.0)
 #: Partial sums of documents travel as whole numbers of these.
-BASE_UNIT, SCORE_UNIT = 1e-10, 1e-7
+BASE_UNIT, SCORE_UNIT = 1e-9, 1e-6
 #: Texts from which hot words are told; a word that is missed merely makes a bucket larger.
 SAMPLE_TEXTS = 500
 START, END = np.uint64(1), np.uint64(2)
@@ -478,14 +478,14 @@ def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None) -> Da
         cw = np.bincount(bk.pair_word, bk.c, n_words)
         own = _of_hot(bk.words, total.hot_count)
         cw[own >= 0] = own[own >= 0]
-        by_pair = (np.log10(mean), np.log10(cw + 1)[bk.pair_word], (cw > 0)[bk.pair_word].astype(np.float64))
+        by_pair = (np.log10(mean), np.log10(cw + 1)[bk.pair_word], (cw == 0)[bk.pair_word].astype(np.float64))
         rows = []
         for k, ids in enumerate(bk.rows):
             if len(ids):
                 mine = bk.token_file == k
                 pair, row = bk.token_pair[mine], bk.token_row[mine]
-                lp, base, known = (np.bincount(row, v[pair], len(ids)) for v in by_pair)
-                rows.append((k, b, _pack(ids, _narrow(known), np.rint(base / BASE_UNIT).astype(np.int64), np.rint(-lp / SCORE_UNIT).astype(np.int64))))
+                lp, base, unknown = (np.bincount(row, v[pair], len(ids)) for v in by_pair)
+                rows.append((k, b, _pack(ids, _narrow(unknown), np.rint(base / BASE_UNIT).astype(np.int64), np.rint(-lp / SCORE_UNIT).astype(np.int64))))
         return pd.DataFrame(rows, columns=["q", "b", "blob"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -495,7 +495,7 @@ def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None) -> Da
             rows, *values = _unpack(blob)
             for total_of, v in zip(sums, values):
                 total_of[rows.astype(np.int64)] += v.astype(np.int64)
-        out = pd.DataFrame({"doc_id": pd.array(np.cumsum(ids), "Int64"), "n_tokens": n.astype(np.int64), "n_known": sums[0], "base_sum": sums[1] * BASE_UNIT, "score": sums[2] * -SCORE_UNIT})
+        out = pd.DataFrame({"doc_id": pd.array(np.cumsum(ids), "Int64"), "n_tokens": n.astype(np.int64), "n_known": n.astype(np.int64) - sums[0], "base_sum": sums[1] * BASE_UNIT, "score": sums[2] * -SCORE_UNIT})
         out.loc[null.astype(bool), "doc_id"] = pd.NA
         return out
 
