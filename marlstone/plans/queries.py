@@ -57,12 +57,12 @@ def query_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]]
 
 
-_kept: dict[tuple[int, str], Tables] = {}
+_kept: dict[tuple[str, str], Tables] = {}
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> Tables:
     """The whitespace index of documents, built once a session and folder and persisted, as a collection keeps it."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         d = docs(spark, sf_dir)
         postings = index.build(d, [LEXICAL]).persist()
