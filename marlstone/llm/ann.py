@@ -1,13 +1,15 @@
-"""Approximate nearest neighbours of the largest inner product: an inverted file with product quantisation.
+"""Approximate nearest neighbours of the largest inner product: an inverted file with exact scores.
 
 A further component sqrt(M^2 - |x|^2), M the largest norm of all, makes the nearest vector the one of the
-largest inner product. Vectors go to the nearest of the coarse centroids; their residuals are quantised
-by sub-vectors of SUB components. A query looks into the lists of its nearest centroids, scores their
-codes from a table of its products with every codeword, and the candidates of the best
-RERANK scores (copies of a vector score alike) are scored on the original vectors, in
-double precision, component by component.
+largest inner product. Vectors go to the nearest of the coarse centroids. A query looks into the lists of
+its nearest centroids and is scored with every vector there: one matrix product tells which can be among the k
+best, and those are scored in double precision, component by component. So what lies in the lists
+looked into is ranked exactly, near-copies and copies too; only vectors of other lists can be missed.
 
-Centroids and codewords are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
+Two things shorten the work and lose nothing. Of exactly equal vectors in a chunk the k + 1 smallest ids stand for
+all. And the k-th best score with the sample's vectors in the lists looked into is a bound below which no other is kept.
+
+Centroids are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
 of vec_id; so is the number of lists to look into: the least that finds ``TARGET`` of the true
 neighbours within the sample. Every vector is indexed. Lists are laid out in chunks of at most
 about ``CHUNK`` vectors, a large list in several, and queries in blocks, so that a task holds one chunk and
@@ -27,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from marlstone.llm import common
 
 SAMPLE, ROUNDS, TARGET = 16_000, 8, 0.98
-SUB, WORDS = 4, 256
-CHUNK, BLOCK, RERANK = 8192, 256, 120
+CHUNK, BLOCK = 8192, 1024
+#: Queries that are scored with a chunk at once.
+PART = 256
 #: Below this many vectors there is one list.
 FEW = 4096
 MAX_LISTS = 4096
@@ -57,71 +61,97 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What is fitted: coarse centroids, codewords by sub-vector, lists to look into, and the chunks of each list."""
+    """What is fitted: coarse centroids, lists to look into, the chunks of each list; and the sample with its ids and lists."""
 
     largest: float
     centres: np.ndarray
-    codewords: np.ndarray
     probes: int
+    ids: np.ndarray
+    sample: np.ndarray
+    own: np.ndarray
     first_chunk: np.ndarray | None = None
     salts: np.ndarray | None = None
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        """Vectors with the further component, padded to whole sub-vectors."""
-        rest = np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))
-        return self._pad(np.column_stack([x, rest]))
-
-    def query(self, q: np.ndarray) -> np.ndarray:
-        return self._pad(np.column_stack([q, np.zeros(len(q))]))
-
-    @staticmethod
-    def _pad(x: np.ndarray) -> np.ndarray:
-        return np.pad(x, ((0, 0), (0, -x.shape[1] % SUB)))
-
-    def codes(self, lifted: np.ndarray, own: np.ndarray) -> np.ndarray:
-        rest = lifted - self.centres[own]
-        return np.column_stack([nearest(rest[:, j * SUB : (j + 1) * SUB], self.codewords[j]) for j in range(len(self.codewords))]).astype(np.uint8)
+        """Vectors with the further component."""
+        return np.column_stack([x, np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))])
 
     def order(self, queries: np.ndarray) -> np.ndarray:
-        """The lists that each lifted query looks into."""
-        score = queries @ self.centres.T - (self.centres**2).sum(axis=1) / 2
-        return np.argsort(-score, axis=1, kind="stable")[:, : self.probes]
-
-    def scores(self, queries: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products, queries by vectors, from each query's tables; -inf for lists not looked into."""
-        coarse = (queries @ self.centres.T).astype(np.float32)
-        looked = np.zeros(coarse.shape, bool)
-        np.put_along_axis(looked, self.order(queries), True, axis=1)
-        coarse[~looked] = -np.inf
-        out = coarse[:, own]
-        for j, words in enumerate(self.codewords):
-            table = (queries[:, j * SUB : (j + 1) * SUB] @ words.T).astype(np.float32)
-            out += table[:, codes[:, j]]
+        """All lists in the order in which each query looks into them; its further component is zero."""
+        score = queries @ self.centres[:, :-1].T - (self.centres**2).sum(axis=1) / 2
+        return np.argsort(-score, axis=1, kind="stable")
+
+    def looked(self, queries: np.ndarray) -> np.ndarray:
+        """Queries by lists: whether each query looks into each list."""
+        out = np.zeros((len(queries), len(self.centres)), bool)
+        np.put_along_axis(out, self.order(queries)[:, : self.probes], True, axis=1)
         return out
 
-
-def fit(sample: np.ndarray, n: int, largest: float, k: int, seed: int = 1) -> Index:
+    def slack(self, queries: np.ndarray) -> np.ndarray:
+        """More than what two ways of summing an inner product can differ by."""
+        return 1e-15 * queries.shape[1] * self.largest * np.sqrt((queries**2).sum(axis=1))
+
+    def floors(self, q_ids: np.ndarray, queries: np.ndarray, looked: np.ndarray, k: int) -> np.ndarray:
+        """For each query a score that at least k others reach in the lists it looks into, or -inf."""
+        out = np.full(len(queries), -np.inf)
+        if len(self.ids) >= k:
+            for i in range(0, len(queries), PART):
+                at = slice(i, i + PART)
+                s = queries[at] @ self.sample.T
+                s[~looked[at][:, self.own] | (q_ids[at, None] == self.ids)] = -np.inf
+                out[at] = np.partition(s, -k, axis=1)[:, -k]
+        return out - self.slack(queries)
+
+
+def first_copies(x: np.ndarray, n: int) -> np.ndarray:
+    """The places of the first n of each group of equal rows, in order."""
+    rows = np.ascontiguousarray(x + 0.0)  # -0.0 equals 0.0
+    _, group = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    ranked, places = group[by_group], np.arange(len(group))
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    return np.sort(by_group[places - np.maximum.accumulate(np.where(new, places, 0)) < n])
+
+
+def best_of(index: Index, q_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, looked: np.ndarray, ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, vec_id, score) of the k best of x, by score and then id, for each query; none below its floor."""
+    s = queries @ x.T
+    s[~looked[:, own] | (q_ids[:, None] == ids)] = -np.inf
+    least = floors.copy()
+    many = np.flatnonzero((s >= least[:, None]).sum(axis=1) > k)
+    if len(many):
+        least[many] = np.maximum(least[many], np.partition(s[many], -k, axis=1)[:, -k] - index.slack(queries[many]))
+    row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    exact = np.zeros(len(row))
+    for j in range(x.shape[1]):
+        exact += queries[row, j] * x[col, j]
+    best = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[best], col[best], exact[best]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[col[kept]], exact[kept]
+
+
+def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, k: int, seed: int = 1) -> Index:
     rng = np.random.default_rng(seed)
-    index = Index(largest, np.zeros((1, 1)), np.zeros((0, 0, 0)), 1)
+    index = Index(largest, np.zeros((1, 1)), 1, ids, sample, np.zeros(0, np.int64))
     lifted = index.lift(sample)
     lists = 1 if n < FEW else min(MAX_LISTS, int(n**0.5))
     index.centres = k_means(lifted, lists, rng)
-    own = nearest(lifted, index.centres)
-    rest = lifted - index.centres[own]
-    index.codewords = np.stack([k_means(rest[:, j : j + SUB], WORDS, rng) for j in range(0, rest.shape[1], SUB)])
+    index.own = nearest(lifted, index.centres)
     index.probes = lists
     if lists > 1:
         asked = np.arange(0, len(sample), max(1, len(sample) // 200))
         near = np.argpartition(-(sample[asked] @ sample.T), k, axis=1)[:, : k + 1]
-        places = np.argsort(index.order(index.query(sample[asked])), axis=1)  # the place of each list in a query's order
-        needed = np.take_along_axis(places, own[near], axis=1).ravel()
+        places = np.argsort(index.order(sample[asked]), axis=1)  # the place of each list in a query's order
+        needed = np.take_along_axis(places, index.own[near], axis=1).ravel()
         index.probes = min(lists, int(np.quantile(needed, TARGET)) + 1)
     return index
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles, one a vec_id."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """(vec_id, v): the vectors that take part, floats as floats and others as doubles, one a vec_id."""
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+    v = F.transform("embedding", lambda x: x.cast(kind))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(~bad & F.exists("v", lambda x: x != 0))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -130,16 +160,18 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def build(rows: DataFrame, k: int) -> tuple[Index | None, int]:
     """Fit on a bounded sample; the index and the number of components."""
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").first()
     if dims is None:
         return None, 0
     chosen = common.hash_sample(rows.where(F.size("v") == dims["d"]), "vec_id", SAMPLE)
-    sample = np.array([r["v"] for r in chosen.select("v").toLocalIterator()], np.float64)
-    return fit(sample, dims["n"], float(dims["m"]) ** 0.5, k), dims["d"]
+    got = list(chosen.select("vec_id", "v").toLocalIterator())
+    ids, sample = np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)
+    return fit(ids, sample, dims["n"], float(dims["m"]) ** 0.5, k), dims["d"]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -150,18 +182,17 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == d)
-    fitted = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and 256 codewords a sub-vector
+    fitted = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and SAMPLE vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = fitted.value
         for b in batches:
             if b.num_rows:
-                x = ix.lift(_matrix(b.column(1)))
-                own = nearest(x, ix.centres)
-                codes = ix.codes(x, own)
-                yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "list": pa.array(own.astype(np.int32)), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+                own = nearest(ix.lift(_matrix(b.column(1))), ix.centres)
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "list": pa.array(own.astype(np.int32)), "v": b.column(1)})
 
-    coded = common.materialise(rows.mapInArrow(assign, "vec_id long, list int, code binary"), "codes")
+    kind = rows.schema["v"].dataType.simpleString()
+    coded = common.materialise(rows.mapInArrow(assign, f"vec_id long, list int, v {kind}"), "lists")
     sizes = np.zeros(len(index.centres), np.int64)
     for r in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
@@ -176,51 +207,39 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     full = spark.sparkContext.broadcast(index)
     at = spark.createDataFrame([(i, int(c), int(s)) for i, (c, s) in enumerate(zip(index.first_chunk, index.salts))], "list int, first long, salts long")
     placed = coded.join(F.broadcast(at), "list").withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("salts")))
-    chunks = placed.groupBy("chunk").agg(F.collect_list(F.struct("vec_id", "list", "code")).alias("rows"))
-    chunks = chunks.select("chunk", F.col("rows.vec_id").alias("ids"), F.col("rows.list").alias("lists"), F.col("rows.code").alias("codes"))
+    chunks = placed.groupBy("chunk").agg(F.collect_list(F.struct("vec_id", "list", "v")).alias("rows"))
+    chunks = chunks.select("chunk", F.col("rows.vec_id").alias("ids"), F.col("rows.list").alias("lists"), F.flatten("rows.v").alias("x"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = full.value
         for b in (x.slice(i, BLOCK) for x in batches for i in range(0, x.num_rows, BLOCK)):
             if b.num_rows:
-                q = _matrix(b.column(1))
-                looked = np.unique(ix.order(ix.query(q)))
-                wanted = sorted({c + s for c, n in zip(ix.first_chunk[looked].tolist(), ix.salts[looked].tolist()) for s in range(n)})
-                ids, flat = b.column(0).to_pylist(), q.ravel().tolist()
+                q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
+                looked = ix.looked(q)
+                floors = ix.floors(ids, q, looked, k)
+                lists = np.flatnonzero(looked.any(axis=0))
+                wanted = sorted({c + s for c, n in zip(ix.first_chunk[lists].tolist(), ix.salts[lists].tolist()) for s in range(n)})
+                one = [pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in (ids, q.ravel(), floors)]
                 for c in wanted:
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "q_ids": pa.array([ids], pa.list_(pa.int64())), "q": pa.array([flat], pa.list_(pa.float64()))})
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), *one], ["chunk", "q_ids", "q", "floors"])
 
-    queries = rows.where(is_query)
-    asked = queries.mapInArrow(blocks, "chunk long, q_ids array<long>, q array<double>")
+    asked = coded.where(is_query).select("vec_id", "v").mapInArrow(blocks, "chunk long, q_ids array<long>, q array<double>, floors array<double>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = full.value
         for b in batches:
             for r in range(b.num_rows):
-                ids = b.column("ids")[r].values.to_numpy()
-                own = b.column("lists")[r].values.to_numpy()
-                codes = np.frombuffer(b"".join(b.column("codes")[r].values.to_pylist()), np.uint8).reshape(len(ids), -1)
-                q_ids = b.column("q_ids")[r].values.to_numpy()
-                by_id = np.argsort(ids, kind="stable")  # equal scores then stand by id
-                ids, own, codes = ids[by_id], own[by_id], codes[by_id]
-                s = ix.scores(ix.query(b.column("q")[r].values.to_numpy().reshape(len(q_ids), -1)), own, codes)
-                s[q_ids[:, None] == ids] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")
-                top = np.take_along_axis(s, best, 1)
-                # of copies, which score alike, the k first suffice, and they count once
-                places = np.arange(top.shape[1])
-                new = np.concatenate([np.ones((len(top), 1), bool), top[:, 1:] != top[:, :-1]], axis=1)
-                in_run = places - np.maximum.accumulate(np.where(new, places, 0), axis=1)
-                keep = np.isfinite(top) & (np.cumsum(new, axis=1) <= RERANK) & (in_run < k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, keep.sum(axis=1))), "vec_id": pa.array(ids[best][keep]), "near": pa.array(top[keep])})
-
-    found = asked.join(chunks, "chunk").select("ids", "lists", "codes", "q_ids", "q").mapInArrow(scan, "query_id long, vec_id long, near float")
-    by_near = Window.partitionBy("query_id").orderBy(F.desc("near"))
-    found = found.withColumn("at", F.dense_rank().over(by_near)).where(F.col("at") <= RERANK)
-    alike = Window.partitionBy("query_id", "near").orderBy("vec_id")
-    found = found.withColumn("at", F.row_number().over(alike)).where(F.col("at") <= k).select("query_id", "vec_id")
-    exact = found.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("query_id", "vec_id", score.alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                ids, own, x, q_ids, q, floors = (b.column(c)[r].values.to_numpy() for c in ("ids", "lists", "x", "q_ids", "q", "floors"))
+                by_id = np.argsort(ids, kind="stable")
+                ids, own, x = ids[by_id], own[by_id], x.reshape(len(ids), -1)[by_id]
+                few = first_copies(x, k + 1)  # equal vectors score alike, and the smaller ids win
+                ids, own, x = ids[few], own[few], x[few].astype(np.float64)
+                q = q.reshape(len(q_ids), -1)
+                for i in range(0, len(q), PART):
+                    part = q[i : i + PART]
+                    row, found, score = best_of(ix, q_ids[i : i + PART], part, floors[i : i + PART], ix.looked(part), ids, own, x, k)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[i + row]), "vec_id": pa.array(found), "score": pa.array(score)})
+
+    found = asked.join(chunks, "chunk").select("ids", "lists", "x", "q_ids", "q", "floors").mapInArrow(scan, "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,3 +51,33 @@ def test_few_candidates(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
     assert ann.search(df.limit(1), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def recall(got, ids, x, k=20):
+    """The mean share of the k best of brute force that are found; got: {query: ids}."""
+    at = {i: n for n, i in enumerate(ids)}
+    shares = []
+    for q, found in got.items():
+        s = x[at[q]] @ x.T
+        s[at[q]] = -np.inf
+        shares.append(len({ids[i] for i in np.argsort(-s, kind="stable")[:k]} & found) / k)
+    return float(np.mean(shares))
+
+
+def searched(spark, x, k=20):
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA)
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return got
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-3, 1e-2])
+def test_near_copies(spark, noise):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 64))
+    x[1000:1500] = x[1000] + noise * rng.normal(size=(500, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(np.float64)
+    got = searched(spark, x)
+    assert len(got) == 100 and all(len(v) == 20 for v in got.values())
+    assert recall(got, list(range(2000)), x) == 1.0  # one list, all of it scored exactly
