@@ -10,8 +10,8 @@ Two things shorten the work and lose nothing. Of exactly equal vectors in a chun
 all. And the k-th best score with the sample's vectors in the lists looked into is a bound below which no other is kept.
 
 Centroids are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
-of vec_id; so is the number of lists to look into: the least that finds ``TARGET`` of the true
-neighbours within the sample. Every vector is indexed. Lists are laid out in chunks of at most
+of vec_id. The number of lists to look into is the least that finds ``TARGET`` of the true neighbours of ``ASKED``
+queries, which brute force over all rows tells; as lists are scored exactly, that is the recall of the whole search. Every vector is indexed. Lists are laid out in chunks of at most
 about ``CHUNK`` vectors, a large list in several, and queries in blocks, so that a task holds one chunk and
 one block at a time whatever the number of either.
 
@@ -34,6 +34,8 @@ from pyspark.sql.types import FloatType
 from marlstone.llm import common
 
 SAMPLE, ROUNDS, TARGET = 16_000, 8, 0.98
+#: Queries whose true neighbours set the number of lists to look into.
+ASKED = 200
 CHUNK, BLOCK = 8192, 1024
 #: Queries that are scored with a chunk at once.
 PART = 256
@@ -131,7 +133,7 @@ def best_of(index: Index, q_ids: np.ndarray, queries: np.ndarray, floors: np.nda
     return row[kept], ids[col[kept]], exact[kept]
 
 
-def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, k: int, seed: int = 1) -> Index:
+def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, seed: int = 1) -> Index:
     rng = np.random.default_rng(seed)
     index = Index(largest, np.zeros((1, 1)), 1, ids, sample, np.zeros(0, np.int64))
     lifted = index.lift(sample)
@@ -139,12 +141,6 @@ def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, k: int, see
     index.centres = k_means(lifted, lists, rng)
     index.own = nearest(lifted, index.centres)
     index.probes = lists
-    if lists > 1:
-        asked = np.arange(0, len(sample), max(1, len(sample) // 200))
-        near = np.argpartition(-(sample[asked] @ sample.T), k, axis=1)[:, : k + 1]
-        places = np.argsort(index.order(sample[asked]), axis=1)  # the place of each list in a query's order
-        needed = np.take_along_axis(places, index.own[near], axis=1).ravel()
-        index.probes = min(lists, int(np.quantile(needed, TARGET)) + 1)
     return index
 
 
@@ -158,7 +154,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def build(rows: DataFrame, k: int) -> tuple[Index | None, int]:
+def build(rows: DataFrame) -> tuple[Index | None, int]:
     """Fit on a bounded sample; the index and the number of components."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").first()
@@ -167,18 +163,51 @@ def build(rows: DataFrame, k: int) -> tuple[Index | None, int]:
     chosen = common.hash_sample(rows.where(F.size("v") == dims["d"]), "vec_id", SAMPLE)
     got = list(chosen.select("vec_id", "v").toLocalIterator())
     ids, sample = np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)
-    return fit(ids, sample, dims["n"], float(dims["m"]) ** 0.5, k), dims["d"]
+    return fit(ids, sample, dims["n"], float(dims["m"]) ** 0.5), dims["d"]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def probes(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> int:
+    """The least number of lists with ``TARGET`` of the k true neighbours, among all of ``coded``, of ``ASKED`` of the queries."""
+    got = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(ASKED).collect()
+    if not got:
+        return index.probes
+    asked = coded.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = asked.value
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, id, list, score
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy()
+                s = q @ _matrix(b.column(2)).T
+                s[q_ids[:, None] == ids] = -np.inf
+                row, col = np.nonzero(np.isfinite(s) & (s >= np.partition(s, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None]))
+                new = (row, ids[col], b.column(1).to_numpy()[col].astype(np.int64), s[row, col])
+                row, found, own, score = (np.concatenate(x) for x in zip(kept, new))
+                best = np.lexsort((found, -score, row))
+                best = best[np.arange(len(row)) - np.searchsorted(row[best], row[best]) < k]
+                kept = row[best], found[best], own[best], score[best]
+        yield pa.RecordBatch.from_pydict(dict(zip(("query", "vec_id", "list", "score"), map(pa.array, kept))))
+
+    near = coded.select("vec_id", "list", "v").mapInArrow(brute, "query long, vec_id long, list long, score double")
+    true = near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") <= k)
+    rows = true.select("query", "list").collect()  # at most ASKED times k
+    if not rows:
+        return index.probes
+    places = np.argsort(index.order(asked.value[1]), axis=1)  # the place of each list in a query's order
+    needed = places[[r["query"] for r in rows], [r["list"] for r in rows]]
+    return min(len(index.centres), int(np.quantile(needed, TARGET, method="higher")) + 1)
+
+
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each vector for which the column ``is_query`` holds."""
     spark = vectors.sparkSession
     rows = common.materialise(valid(vectors), "vectors")
-    index, d = build(rows, k)
+    index, d = build(rows)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == d)
@@ -193,6 +222,8 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     kind = rows.schema["v"].dataType.simpleString()
     coded = common.materialise(rows.mapInArrow(assign, f"vec_id long, list int, v {kind}"), "lists")
+    if len(index.centres) > 1:
+        index.probes = probes(index, coded, coded.where(is_query), k)
     sizes = np.zeros(len(index.centres), np.int64)
     for r in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]

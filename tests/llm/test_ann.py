@@ -81,3 +81,12 @@ def test_near_copies(spark, noise):
     got = searched(spark, x)
     assert len(got) == 100 and all(len(v) == 20 for v in got.values())
     assert recall(got, list(range(2000)), x) == 1.0  # one list, all of it scored exactly
+
+
+def test_recall_of_the_whole_search(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 600)  # centroids fit such a sample better than they fit the other vectors
+    x = np.random.default_rng(2).normal(size=(12000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(np.float64)
+    got = searched(spark, x)
+    assert len(got) == 600 and all(len(v) == 20 for v in got.values())
+    assert recall(got, list(range(12000)), x) >= 0.965
