@@ -2,11 +2,11 @@
 
 A text is cut into units: a word with the spaces before it (as U+2581), or with the line break before
 it. Within a unit the agenda repeatedly takes the best candidate merge (best score, then leftmost). A
-candidate whose keyed hash - of the seed, the unit, its variant, where it starts and what it makes -
-falls below the dropout rate is skipped. A unit's variant (0 to VARIANTS - 1) follows from a hash of the
-document and the place of the unit, so one word is cut in several ways across and within documents,
-and the same input and seed always give the same ids. All distinct (unit, variant) of a batch go
-through the agenda together, one merge each a round, as array operations.
+candidate whose keyed hash - of the seed, the unit, the document, the unit's place in it, where the candidate starts
+and what it makes - falls below the dropout rate is skipped. So every occurrence of a word is cut by decisions of its own,
+and the same input and seed always give the same ids. The occurrences of a unit in a batch go through the agenda as
+one for as long as their decisions agree, and part where one skips what others merge. All go
+through it together, one candidate each a round, as array operations.
 
 Nothing is normalised. Characters without a piece, and U+2581 itself, become byte pieces, so decoding
 gives back exactly the text; with dropout 0 the ids are those of the sentencepiece library for texts
@@ -31,7 +31,6 @@ from marlstone.llm import features
 SPACE = "▁"
 #: Stands for U+2581 of a text itself; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
-VARIANTS = 4
 NONE = np.int64(1) << 40
 #: Units longer than this go through the agenda alone, so that they do not widen the arrays of others.
 WIDE = 64
@@ -100,79 +99,111 @@ def load(path: str) -> Model:
     return _models[path]
 
 
-def agenda(model: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge rows of symbol ids (-1: no piece; padded with -1 beyond their sizes) as far as they go."""
-    limit = np.uint64(int(dropout * 2**64)) if dropout < 1 else np.uint64(2**64 - 1)
-    starts = np.broadcast_to(np.arange(symbols.shape[1]), symbols.shape).copy()
-
-    def candidates(rows, a, b, start):
-        rank = model.merge(a, b)
-        if dropout > 0:
-            h = mix(keys[rows] + GOLDEN * (np.uint64(1) + start.astype(np.uint64)) + mix(rank.astype(np.uint64)))
-            rank = np.where((rank != NONE) & (h < limit), NONE, rank)
-        return rank
+def agenda(model: Model, symbols: np.ndarray, sizes: np.ndarray, row: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merge rows of symbol ids (-1: no piece; padded with -1 beyond their sizes) as far as they go.
 
-    symbols, sizes = symbols.copy(), sizes.copy()
+    row, keys: the row and a 64-bit key of each occurrence. The merged rows, their sizes, the row that each
+    came from, and for each occurrence its merged row."""
+    limit = np.uint64(int(dropout * 2**64)) if dropout < 1 else np.uint64(2**64 - 1)
     width = symbols.shape[1]
+    source = np.arange(len(symbols))
     if width < 2 or not len(symbols):
-        return symbols, sizes
-    grid = np.broadcast_to(np.arange(len(symbols))[:, None], (len(symbols), width - 1))
-    best = candidates(grid.ravel(), symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), starts[:, :-1].ravel()).reshape(-1, width - 1)
-    live = np.arange(len(symbols))
+        return symbols, sizes, source, row
+    starts = np.broadcast_to(np.arange(width), symbols.shape)
+    best = model.merge(symbols[:, :-1], symbols[:, 1:])
+    done, out, n_done, occurrence = [], np.zeros(len(row), np.int64), 0, np.arange(len(row))
     while True:
-        at = best[live].argmin(axis=1)
-        got = best[live, at]
-        live, at, got = live[got != NONE], at[got != NONE], got[got != NONE]
-        if not len(live):
-            return symbols, sizes
+        at = best.argmin(axis=1)
+        got = best[np.arange(len(best)), at]
+        ends = got == NONE
+        if ends.any():
+            done.append((symbols[ends], sizes[ends], source[ends]))
+            ended = ends[row]
+            out[occurrence[ended]] = n_done + np.cumsum(ends)[row[ended]] - 1
+            n_done += int(ends.sum())
+            row, occurrence, keys = np.cumsum(~ends)[row[~ended]] - 1, occurrence[~ended], keys[~ended]
+            symbols, sizes, source, starts, best, at, got = (x[~ends] for x in (symbols, sizes, source, starts, best, at, got))
+        if not len(symbols):
+            return *(np.concatenate(x) for x in zip(*done)), out
+        i = np.arange(len(symbols))
+        merging, apart = i, i[:0]
+        if dropout > 0:
+            key = GOLDEN * (np.uint64(1) + starts[i, at].astype(np.uint64)) + mix(got.astype(np.uint64))
+            skips = mix(keys + key[row]) < limit
+            n_skips, n_all = np.bincount(row[skips], minlength=len(i)), np.bincount(row, minlength=len(i))
+            merging, none = np.flatnonzero(n_skips < n_all), np.flatnonzero(n_skips == n_all)
+            apart = np.flatnonzero((n_skips > 0) & (n_skips < n_all))
+            best[none, at[none]] = NONE
+            # those that skip what others of their row merge become a row of their own
+            to = i.copy()
+            to[apart] = len(i) + np.arange(len(apart))
+            row = np.where(skips, to[row], row)
+            rest = [x[apart] for x in (symbols, sizes, source, starts, best)]
+            rest[4][np.arange(len(apart)), at[apart]] = NONE
+        at, got = at[merging], got[merging]
         cols = np.arange(width)
         take = np.minimum(cols + (cols > at[:, None]), width - 1)
-        s, t = np.take_along_axis(symbols[live], take, 1), np.take_along_axis(starts[live], take, 1)
+        s, t = np.take_along_axis(symbols[merging], take, 1), np.take_along_axis(starts[merging], take, 1)
         s[:, -1] = -1
-        i = np.arange(len(live))
+        i = np.arange(len(merging))
         s[i, at] = model.of_rank[got]
-        symbols[live], starts[live] = s, t
-        sizes[live] -= 1
         cols = np.arange(width - 1)
-        b = np.take_along_axis(best[live], np.minimum(cols + (cols > at[:, None]), width - 2), 1)
+        b = np.take_along_axis(best[merging], np.minimum(cols + (cols > at[:, None]), width - 2), 1)
         b[:, -1] = NONE
         for side in (-1, 0):  # only the pairs on either side of the new piece are new
             j = at + side
             ok = (j >= 0) & (j < width - 1)
-            b[i[ok], j[ok]] = candidates(live[ok], s[i[ok], j[ok]], s[i[ok], j[ok] + 1], t[i[ok], j[ok]])
-        best[live] = b
-
-
-def segment(model: Model, units: list[str], keys: np.ndarray, dropout: float) -> list[list[int]]:
-    """The ids of each unit; keys: a 64-bit key for each."""
-    out: list[list[int]] = [[]] * len(units)
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    widths = np.where(sizes <= WIDE, -(-sizes // 8) * 8, sizes)
-    for w in np.unique(widths):
-        own = np.flatnonzero(widths == w)
+            b[i[ok], j[ok]] = model.merge(s[i[ok], j[ok]], s[i[ok], j[ok] + 1])
+        if len(merging) == len(symbols):
+            symbols, starts, best, sizes = s, t, b, sizes - 1
+        else:
+            starts = starts.copy()
+            symbols[merging], starts[merging], best[merging] = s, t, b
+            sizes[merging] -= 1
+        if len(apart):
+            symbols, sizes, source, starts, best = (np.concatenate(x) for x in zip((symbols, sizes, source, starts, best), rest))
+
+
+def segment(model: Model, units: list[str], codes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segmentations end to end, the count of each, and the segmentation of each occurrence; codes, keys: its unit and a 64-bit key."""
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    widths = np.where(lengths <= WIDE, -(-lengths // 8) * 8, lengths)
+    used = np.bincount(codes, minlength=len(units)) > 0
+    pool, per, which, n_rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.zeros(len(codes), np.int64), 0
+    by_width = np.argsort(widths[codes], kind="stable")
+    bounds = np.searchsorted(widths[codes][by_width], np.unique(widths[used]))
+    place = np.zeros(len(units), np.int64)
+    for w, occurrences in zip(np.unique(widths[used]).tolist(), np.split(by_width, bounds[1:])):
+        own = np.flatnonzero((widths == w) & used)
+        place[own] = np.arange(len(own))
         text = "".join(units[i] for i in own)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        distinct, inverse = np.unique(codes, return_inverse=True)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        distinct, inverse = np.unique(points, return_inverse=True)
         ids = np.array([model.ids.get(chr(c), -1) for c in distinct], np.int64)
-        symbols = np.full((len(own), int(w)), -1, np.int64)
-        inside = np.arange(int(w)) < sizes[own][:, None]
-        symbols[inside] = ids[inverse]
-        done, left = agenda(model, symbols, sizes[own], keys[own], dropout)
-        lacking = (symbols < 0) & inside
-        plain = ~lacking.any(axis=1)
-        for i, row, n, ok in zip(own.tolist(), done.tolist(), left.tolist(), plain.tolist()):
-            if ok:
-                out[i] = row[:n]
-            else:  # characters without a piece stand as bytes, in the order in which they come
-                strange = iter([c for c in units[i] if c not in model.ids])
-                flat: list[int] = []
-                for x in row[:n]:
-                    if x >= 0:
-                        flat.append(x)
-                    else:
-                        flat += [model.byte_ids[b] for b in next(strange).replace(LITERAL, SPACE).encode()]
-                out[i] = flat
-    return out
+        symbols = np.full((len(own), w), -1, np.int64)
+        symbols[np.arange(w) < lengths[own][:, None]] = ids[inverse]
+        done, left, source, row = agenda(model, symbols, lengths[own], place[codes[occurrences]], keys[occurrences], dropout)
+        inside = np.arange(w) < left[:, None]
+        lacking = ((done < 0) & inside).any(axis=1)
+        order = np.concatenate([np.flatnonzero(~lacking), np.flatnonzero(lacking)])
+        pool.append(done[~lacking][inside[~lacking]].astype(np.int32))
+        counts = left[order]
+        for i in np.flatnonzero(lacking).tolist():  # characters without a piece stand as bytes, in the order in which they come
+            strange = iter([c for c in units[own[source[i]]] if c not in model.ids])
+            flat: list[int] = []
+            for x in done[i, : left[i]].tolist():
+                if x >= 0:
+                    flat.append(x)
+                else:
+                    flat += [model.byte_ids[b] for b in next(strange).replace(LITERAL, SPACE).encode()]
+            pool.append(np.array(flat, np.int32))
+        counts[int((~lacking).sum()) :] = [len(x) for x in pool[len(pool) - int(lacking.sum()) :]]
+        per.append(counts)
+        at = np.empty(len(order), np.int64)
+        at[order] = n_rows + np.arange(len(order))
+        which[occurrences] = at[row]
+        n_rows += len(order)
+    return np.concatenate(pool), np.concatenate(per), which
 
 
 def hash_units(units: list[str], seed: int) -> np.ndarray:
@@ -200,19 +231,8 @@ def encode_batch(model: Model, texts: pa.Array, doc_keys: np.ndarray, dropout: f
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
     sizes = np.diff(bounds)
     place = (np.arange(len(codes)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64)
-    variants = VARIANTS if dropout > 0 else 1
-    variant = (mix(np.repeat(doc_keys, sizes) + GOLDEN * (place + np.uint64(1))) % np.uint64(variants)).astype(np.int64)
-    both = codes * variants + variant
-    seen = np.zeros(len(units) * variants, bool)
-    seen[both] = True
-    used = np.flatnonzero(seen)
-    keys = hash_units(units, seed)[used // variants] + mix((used % variants).astype(np.uint64) + np.uint64(1))
-    ids = segment(model, [units[u // variants] for u in used.tolist()], keys, dropout)
-    new = np.full(len(seen), -1, np.int64)
-    new[used] = np.arange(len(used))
-    at = new[both]
-    per = np.fromiter(map(len, ids), np.int64, len(ids))
-    pool = np.fromiter((x for row in ids for x in row), np.int32, int(per.sum()))
+    keys = hash_units(units, seed)[codes] + mix(np.repeat(doc_keys, sizes) + GOLDEN * (place + np.uint64(1)))
+    pool, per, at = segment(model, units, codes, keys, dropout)
     starts, own = np.cumsum(per) - per, per[at]
     ends = np.cumsum(own)
     index = np.repeat(starts[at] - (ends - own), own) + np.arange(int(own.sum()))

@@ -185,3 +185,28 @@ def test_sentencepiece(spark):
     other = sentencepiece_bpe.encode(docs.where("doc_id = 18"), path, 0.1, seed=2).first().pieces
     assert other != sentencepiece_bpe.encode(docs.where("doc_id = 18"), path, 0.1, seed=1).first().pieces
     assert sentencepiece_bpe.encode(docs.limit(0), path).count() == 0
+
+
+def test_sentencepiece_every_occurrence_is_cut_on_its_own(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece_bpe.load(path)
+    one, many = "a", "understanding"
+    docs = spark.createDataFrame([(i, " ".join([w] * 2000), "en", "s", 1, "x") for i, w in enumerate((one, many))], DOCS)
+    pieces = {r.doc_id: r.pieces for r in sentencepiece_bpe.encode(docs, path, 0.1).collect()}
+    assert abs((len(pieces[0]) - 2000) / 2000 - 0.1) < 0.03  # its one merge is skipped at the rate asked for
+    ways, cut, left = set(), [], b""
+    for x in pieces[1]:
+        cut, left = [*cut, x], left + model.bytes_of[x]
+        if left == b" " + many.encode():
+            ways.add(tuple(cut))
+            cut, left = [], b""
+    assert not cut and len(ways) > 20
+    # occurrences that are pooled while they agree are cut as each is alone
+    units, codes = [sentencepiece_bpe.SPACE + w for w in (one, many, "中▁", "played")], np.arange(2000) % 4
+    keys = np.random.default_rng(0).integers(0, 2**63, 2000).astype(np.uint64)
+    pool, per, at = sentencepiece_bpe.segment(model, units, codes, keys, 0.3)
+    ends = np.cumsum(per)
+    for i in range(0, 2000, 13):
+        alone = sentencepiece_bpe.segment(model, units, codes[i : i + 1], keys[i : i + 1], 0.3)[0]
+        assert alone.tolist() == pool[ends[at[i]] - per[at[i]] : ends[at[i]]].tolist()
