@@ -298,25 +298,24 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id, class_size) of every row: the least doc_id of its class, and the class's rows."""
+    """(doc_id, node, class_id, class_size, comp) of every row: the least doc_id of its class, the class's rows, and its component."""
     docs = docs.select("doc_id", "text")
     comp = links(docs)
     rows = nodes(docs).select("doc_id", F.col("__node").alias("node"))
     named = rows.join(comp, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     per = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(per, "comp").select("doc_id", "node", "class_id", "class_size")
+    return named.join(per, "comp").select("doc_id", "node", "class_id", "class_size", "comp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, that of the least doc_id; columns unchanged."""
-    named = classes(docs)
-    best = named.where("doc_id <=> class_id").groupBy("class_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    # texts of one class can share a doc_id: the least text digest then
-    best = common.materialise(best.groupBy("class_id").agg(F.min(F.struct("node", "n")).alias("x")).select(F.col("class_id").alias("__id"), F.col("x.node").alias("__kept"), F.col("x.n").alias("__n")), "kept")
-    lone = named.where("class_id is null").select("node").distinct()
+    rows = classes(docs).groupBy("comp", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    # texts of one class can share a doc_id: the least text digest then; null only where no row has an id
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")).alias("x")
+    best = rows.groupBy("comp").agg(least).select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__kept"), F.col("x.n").alias("__n"))
+    best = common.materialise(best, "kept")
     marked = nodes(docs)
     on = F.expr("doc_id <=> __id and __node = __kept")
     once = marked.join(best.where("__n = 1"), on).select(*docs.columns)
-    often = marked.join(best.where("__n > 1 and __id is not null"), on).dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
-    nameless = marked.where("doc_id is null").join(lone.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
-    return once.union(often).union(nameless)
+    often = marked.join(best.where("__n > 1"), on).dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
+    return once.union(often)

@@ -142,3 +142,11 @@ def test_odd_rows(spark):
     assert nd.keep_one(docs).count() == 2
     assert nd.classes(docs.limit(0)).count() == 0
     assert nd.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_component(spark):
+    shared = [(7, "first text of its own", "x", 1), (7, "quite another one here", "x", 1)]
+    single = [(None, "a text without an id", "x", 1)]
+    docs = spark.createDataFrame([*shared, *single, (9, "last of all", "x", 1), (9, "last of all", "x", 1)], DOCS)
+    kept = Counter((r.doc_id, r.text) for r in nd.keep_one(docs).collect())
+    assert kept == Counter({(i, t): 1 for i, t, _, _ in shared + single} | {(9, "last of all"): 1})
