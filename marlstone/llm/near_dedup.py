@@ -2,7 +2,7 @@
 
 A text is the sequence of its 5-word shingles. Each shingle is labelled with how often it has occurred
 before in the text. For each of SKETCHES hash functions the TUPLE labelled shingles of the least hashes
-are taken and put back into text order; the hash of that tuple is a bucket key, beside the text's
+(SHORT_TUPLE in short texts) are taken and put back into text order; the hash of that tuple is a bucket key, beside the text's
 length class. Two texts share a key only if they share those shingles in the same order, so the keys
 answer to edits and moves and not to shared words alone.
 
@@ -40,6 +40,8 @@ from marlstone.llm import common
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES, TUPLE = 20, 4
+#: In length classes up to SHORT (fewer than 36 shingles) tuples are smaller: drawn without replacement from few, four rarely agree.
+SHORT, SHORT_TUPLE = 15, 2
 HUBS = 4
 #: Lists of wanted texts below this are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -101,13 +103,13 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """A key for each of SKETCHES hash functions; none for no shingles."""
+def sketch(hashes: np.ndarray, size: int = TUPLE) -> np.ndarray:
+    """A key for each of SKETCHES hash functions, of ``size`` shingles; none for no shingles."""
     n = len(hashes)
     if n == 0:
         return np.zeros(0, np.uint64)
     marked = labelled(hashes)
-    t = min(TUPLE, n)
+    t = min(size, n)
     least = np.argpartition(_mix(marked ^ _SEEDS), t - 1, axis=1)[:, :t]
     chosen = marked[np.sort(least, axis=1)]  # back in text order
     keys = _SEEDS[:, 0].copy()
@@ -122,6 +124,13 @@ def length_classes(n: int) -> tuple[int, int]:
     return c, c + 1
 
 
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a text with shingles, in both of its length classes; the class sets the size of the tuples."""
+    classes_ = length_classes(len(hashes))
+    of_size = {size: sketch(hashes, size) for size in {SHORT_TUPLE if c <= SHORT else TUPLE for c in classes_}}
+    return np.concatenate([_mix(of_size[SHORT_TUPLE if c <= SHORT else TUPLE] + (_G * np.array([c], np.int64).astype(np.uint64))) for c in classes_]).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The longest common subsequence of a and b whose matches lie within ``band`` of the diagonal."""
     n, m = len(a), len(b)
@@ -178,10 +187,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             ids, sizes, keys = [], [], []
             for node, s in zip(b.column(0).to_pylist(), shingles(b.column(1))):
                 if len(s):
-                    k = sketch(s)
                     ids.append(node)
                     sizes.append(len(s))
-                    keys.append(np.concatenate([_mix(k + (_G * np.array([c], np.int64).astype(np.uint64))) for c in length_classes(len(s))]).view(np.int64))
+                    keys.append(bucket_keys(s))
             yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     found = nodes(docs).select("__node", "text").mapInArrow(run, "node binary, n long, keys array<long>")

@@ -150,3 +150,13 @@ def test_keep_one_of_each_component(spark):
     docs = spark.createDataFrame([*shared, *single, (9, "last of all", "x", 1), (9, "last of all", "x", 1)], DOCS)
     kept = Counter((r.doc_id, r.text) for r in nd.keep_one(docs).collect())
     assert kept == Counter({(i, t): 1 for i, t, _, _ in shared + single} | {(9, "last of all"): 1})
+
+
+def test_short_pairs_share_a_key():
+    """Texts of 8 and 9 words share 4 of 5 shingles."""
+    rng = np.random.default_rng(0)
+    missed = 0
+    for _ in range(3000):
+        s = rng.integers(0, 2**63, 5).astype(np.uint64)
+        missed += not set(nd.bucket_keys(s).tolist()) & set(nd.bucket_keys(s[:4]).tolist())
+    assert missed == 0
