@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +20,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests in local mode, a folder of this machine is set."""
+    Only where that is unset in local mode, as in tests, a folder of this machine is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,12 +42,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that ``materialise`` returned."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,3 +77,35 @@ def small_enough(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:
     """Whether a table is proven to fit a broadcast: its rows are counted, up to the bound, before."""
     bound = limit_bytes // row_bytes
     return df.limit(bound + 1).count() <= bound
+
+
+def frugal() -> None:
+    """Have this Python worker give freed memory back at once.
+
+    Workers are reused from stage to stage. By default the C library raises the size from which arrays get pages of
+    their own, and the Arrow pool keeps what was freed, so a worker stays as large as its largest moment."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # of the GNU library; elsewhere nothing is changed
+        for option, value in ((-3, 1 << 19), (-1, 1 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def frugal_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``run`` in a frugal worker."""
+
+    def frugally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        yield from run(batches)
+
+    return frugally
+
+
+def frugal_group(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas: ``run`` in a frugal worker."""
+
+    def frugally(group: pd.DataFrame) -> pd.DataFrame:
+        frugal()
+        return run(group)
+
+    return frugally

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,10 @@ PREFIXES = range(4, 8)
 SYMBOLS = "!?#$%&*|@<>{}[]=+\\/~^_"
 
 
+#: Bytes of text that a task takes apart together.
+SLICE_BYTES = 2 << 20
+
+
 def style(text: str | None) -> list[float]:
     """Numbers that tell prose from junk: shares of characters, repetition of words and lines."""
     text = text or ""
@@ -80,17 +85,36 @@ class TermIndex:
         return sorted(out)
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of texts of about ``most`` bytes together; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        until = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+        yield start, max(1, until - start)
+        start += max(1, until - start)
+
+
 def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], added: str) -> DataFrame:
-    """The rows of ``df`` and further columns that ``make()``, called once a task, computes from Arrow batches."""
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+    """The rows of ``df`` and further columns that ``make()``, called once a task, computes from Arrow batches
+    of about SLICE_BYTES of ``text``.
+
+    A column of ``df`` that has the name of an added one, in any case, gives way to it."""
+    new_fields = T.StructType.fromDDL(added).fields
+    taken = {f.name.lower() for f in new_fields}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *new_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for b in batches:
-            new = compute(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, *new.values()], names=[*b.schema.names, *new])
+        for whole in batches:
+            for i, n in slices(whole.column("text"), SLICE_BYTES):
+                b = whole.slice(i, n)
+                new = compute(b)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new.values()], names=[*(b.schema.names[i] for i in kept), *new])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(common.frugal_batches(run), schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, names: dict[str, str], bound: int) -> DataFrame:
@@ -102,7 +126,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: dict[str, str], b
     chosen = common.hash_sample(known, "doc_id", bound)
     # a broadcast of at most ``bound`` rows of numbers
     return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-
-def to_matrix(column) -> np.ndarray:
-    return np.array(column, np.float64)

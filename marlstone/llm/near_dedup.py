@@ -12,12 +12,11 @@ similarity, and equal to it where shared shingles stand in the same order. Texts
 or more are linked, and classes are the connected components of the links.
 
 Only distinct texts are compared: copies share a node, the digest of their text. In a bucket every
-member is aligned with the member of the largest degree, then those outside the bucket's commonest
-component with HUBS random members inside it. What then still lies in different components is compared in
-all pairs, but for pairs that cannot reach THRESHOLD: shingles that a text has alone are in no alignment, so
-n less their number bounds it. The edits of copies are mostly their own, so this leaves few pairs of even
-a large family. No link between members of a bucket is lost, and no pair within a component is compared
-needlessly.
+member is aligned with the member of the largest degree, then in ROUNDS rounds those outside the bucket's commonest
+component with a random member inside it, another in each bucket. What then still lies in different components is compared in
+all pairs, but for pairs that two exact bounds rule out before any text is read: shingles that a text has alone are in no
+alignment, and nor are those whose bit in a bitmap of BITS bits the other text lacks. A large bucket's outsiders are
+dealt over several tasks. No link between members of a bucket is lost, and no pair within a component is compared needlessly.
 
 Defined cases: null texts are copies of each other and of nothing else; texts without words are equal
 to exact copies only; a text of 1 to 4 words is one shingle; repeated rows are copies; a null doc_id
@@ -32,22 +31,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import common
+from marlstone.llm import common, features
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES, TUPLE = 20, 4
 #: In length classes up to SHORT (fewer than 36 shingles) tuples are smaller: drawn without replacement from few, four rarely agree.
 SHORT, SHORT_TUPLE = 15, 2
-HUBS = 4
+ROUNDS = 2
+#: Bits of a text's bitmap, in words of 64.
+BITS = 1024
+#: Outsiders of a bucket that one task compares with the bucket.
+DEALT = 1000
 #: Lists of wanted texts below this are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
 
-#: Texts that a task takes apart together.
-SLICE = 1000
+#: Bytes of text that a task takes apart together.
+SLICE_BYTES = 2 << 20
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,12 +106,11 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def sketch(hashes: np.ndarray, size: int = TUPLE) -> np.ndarray:
-    """A key for each of SKETCHES hash functions, of ``size`` shingles; none for no shingles."""
-    n = len(hashes)
+def sketch(marked: np.ndarray, size: int = TUPLE) -> np.ndarray:
+    """A key for each of SKETCHES hash functions, of ``size`` labelled shingles; none for no shingles."""
+    n = len(marked)
     if n == 0:
         return np.zeros(0, np.uint64)
-    marked = labelled(hashes)
     t = min(size, n)
     least = np.argpartition(_mix(marked ^ _SEEDS), t - 1, axis=1)[:, :t]
     chosen = marked[np.sort(least, axis=1)]  # back in text order
@@ -126,11 +128,18 @@ def length_classes(n: int) -> tuple[int, int]:
 
 def bucket_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of a text with shingles, in both of its length classes; the class sets the size of the tuples."""
-    classes_ = length_classes(len(hashes))
-    of_size = {size: sketch(hashes, size) for size in {SHORT_TUPLE if c <= SHORT else TUPLE for c in classes_}}
+    classes_, marked = length_classes(len(hashes)), labelled(hashes)
+    of_size = {size: sketch(marked, size) for size in {SHORT_TUPLE if c <= SHORT else TUPLE for c in classes_}}
     return np.concatenate([_mix(of_size[SHORT_TUPLE if c <= SHORT else TUPLE] + (_G * np.array([c], np.int64).astype(np.uint64))) for c in classes_]).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each labelled shingle."""
+    bits = np.zeros(BITS, bool)
+    bits[labelled(hashes) % np.uint64(BITS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The longest common subsequence of a and b whose matches lie within ``band`` of the diagonal."""
     n, m = len(a), len(b)
@@ -174,25 +183,23 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
     return length / (n + m - length)
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__node``: the digest of the text; null texts have one of their own."""
-    return docs.withColumn("__node", F.coalesce(F.unhex(F.md5("text")), F.lit(bytearray(b"null"))))
+def digest(text) -> Column:
+    """The node of a text; null texts have one of their own."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(bytearray(b"null")))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, n, keys) of each distinct text with words: its number of shingles and its bucket keys."""
+    """(node, n, bits, keys) of each distinct text with words: its number of shingles, their bitmap, and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
-            ids, sizes, keys = [], [], []
-            for node, s in zip(b.column(0).to_pylist(), shingles(b.column(1))):
-                if len(s):
-                    ids.append(node)
-                    sizes.append(len(s))
-                    keys.append(bucket_keys(s))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    found = nodes(docs).select("__node", "text").mapInArrow(run, "node binary, n long, keys array<long>")
+        for whole in batches:
+            for i, n in features.slices(whole.column(1), SLICE_BYTES):
+                b = whole.slice(i, n)
+                found = [(node, x) for node, x in zip(b.column(0).to_pylist(), shingles(b.column(1))) if len(x)]
+                sizes, bits, keys = [len(x) for _, x in found], [bitmap(x) for _, x in found], [bucket_keys(x) for _, x in found]
+                yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in found], pa.binary()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    found = docs.select(digest("text").alias("node"), "text").mapInArrow(common.frugal_batches(run), "node binary, n long, bits array<long>, keys array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -221,23 +228,25 @@ def joined(comp: DataFrame, links_: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(__node, text) of the wanted nodes (__node), each once. While they are few, texts of others are not moved."""
+    """(node, text) of the wanted nodes, each once. While they are few, texts of others are not moved."""
     wanted = common.materialise(wanted, "wanted")
     near = F.broadcast(wanted) if common.small_enough(wanted, BROADCAST_BYTES, 64) else wanted
-    return nodes(docs).select("__node", "text").join(near, "__node", "left_semi").dropDuplicates(["__node"])
+    return docs.select(digest("text").alias("node"), "text").join(near, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are similar."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct())
-    left, right = texts.select(F.col("__node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("__node").alias("b"), F.col("text").alias("tb"))
+    texts = _texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in (x.slice(i, SLICE // 4) for x in batches for i in range(0, x.num_rows, SLICE // 4)):
-            keep = [similarity(p, q) >= THRESHOLD for p, q in zip(shingles(x.column(2)), shingles(x.column(3)))]
-            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for i, n in features.slices(whole.column(2), SLICE_BYTES):
+                x = whole.slice(i, n)
+                keep = [similarity(p, q) >= THRESHOLD for p, q in zip(shingles(x.column(2)), shingles(x.column(3)))]
+                yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(common.frugal_batches(run), "a binary, b binary")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -255,16 +264,23 @@ def unique_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, q): how many labelled shingles of each wanted node no other wanted node has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
-            found = [labelled(s).view(np.int64) for s in shingles(b.column(1))]
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))})
-
-    texts = _texts(docs, wanted.select(F.col("node").alias("__node")))
-    rows = texts.mapInArrow(run, "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
+        for whole in batches:
+            for i, n in features.slices(whole.column(1), SLICE_BYTES):
+                b = whole.slice(i, n)
+                found = [labelled(x).view(np.int64) for x in shingles(b.column(1))]
+                yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))})
+
+    texts = _texts(docs, wanted)
+    rows = texts.mapInArrow(common.frugal_batches(run), "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
     alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("q"))
 
 
+def _only(a: str, b: str) -> Column:
+    """How many bits the first bitmap has alone: at least as many of its shingles are not in the other text."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(BITS // 64)), F.lit(0))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(node, comp) of the distinct texts that have a similar other; the components of all links."""
     found = common.materialise(sketches(docs), "sketches")
@@ -279,28 +295,33 @@ def links(docs: DataFrame) -> DataFrame:
     tested = common.materialise(_ordered(members.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pairs")
     comp = components(common.materialise(verify(tested, docs), "links"))
 
-    # 2. members outside a bucket's commonest component with a few members inside it
-    at = _opened(members, comp)
-    hubs = at.where("comp = top").groupBy("bucket").agg(F.array_distinct(F.array(*(F.max_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)))).alias("hubs"))
-    pairs = at.where("comp <> top").join(hubs, "bucket").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
-    pairs = common.materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    comp = joined(comp, common.materialise(verify(pairs, docs), "links"))
-    tested = tested.union(pairs)
+    # 2. members outside a bucket's commonest component with one inside it; who shares many buckets meets many members
+    for i in range(ROUNDS):
+        at = _opened(members, comp)
+        hubs = at.where("comp = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias("b"))
+        pairs = at.where("comp <> top").join(hubs, "bucket").select(F.col("node").alias("a"), "b")
+        pairs = common.materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        comp = joined(comp, common.materialise(verify(pairs, docs), "links"))
+        tested = tested.union(pairs)
 
     # 3. all pairs that are left in different components, but for those that cannot be similar
     at = _opened(members, comp)
     q = unique_shingles(docs, at.select("node").distinct())
     share = THRESHOLD / (1 + THRESHOLD)  # of n + m, the least alignment
-    size = found.select("node", "n", "keys").join(at.select("node").distinct(), "node", "left_semi").join(q, "node", "left")
+    size = found.join(at.select("node").distinct(), "node", "left_semi").join(q, "node", "left")
     # a text whose own shingles alone exceed what may differ is similar to none
-    size = size.select("node", "n", "keys", (F.col("n") - F.coalesce("q", F.lit(0))).alias("common")).where(F.col("common") >= THRESHOLD * F.col("n") - 1e-6)
-    viable = common.materialise(at.join(size, "node"), "viable")
-    left = viable.where("comp <> top").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "common", "keys")))
-    right = viable.select("bucket", "top", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n", "common", "keys")))
-    may = F.least("l_common", "r_common") >= share * (F.col("l_n") + F.col("r_n")) - 1e-6
+    size = size.select("node", "n", "bits", "keys", (F.col("n") - F.coalesce("q", F.lit(0))).alias("common")).where(F.col("common") >= THRESHOLD * F.col("n") - 1e-6)
+    viable = at.join(size, "node")
+    deals = viable.groupBy("bucket").agg(F.sum((F.col("comp") != F.col("top")).cast("long")).alias("outside")).where("outside > 0")
+    viable = common.materialise(viable.join(deals.select("bucket", F.expr(f"1 + outside div {DEALT}").alias("deals")), "bucket"), "viable")
+    columns = ("node", "comp", "n", "common", "bits", "keys")
+    left = viable.where("comp <> top").select(F.col("bucket").alias("l_bucket"), F.pmod(F.xxhash64("node"), F.col("deals")).alias("l_deal"), *(F.col(c).alias(f"l_{c}") for c in columns))
+    right = viable.select("bucket", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), *(F.col(c).alias(f"r_{c}") for c in columns))
+    need = share * (F.col("l_n") + F.col("r_n")) - 1e-6
+    may = (F.least("l_common", "r_common") >= need) & (F.col("l_n") - _only("l_bits", "r_bits") >= need) & (F.col("r_n") - _only("r_bits", "l_bits") >= need)
     once = F.array_min(F.array_intersect("l_keys", "r_keys")) == F.col("l_bucket")  # in the first bucket that both share
-    on = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("top")) | (F.col("l_node") < F.col("r_node"))) & may & once
-    rest = left.withColumnRenamed("bucket", "l_bucket").join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
+    on = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_deal") == F.col("deal")) & (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("top")) | (F.col("l_node") < F.col("r_node"))) & may & once
+    rest = left.join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
     rest = common.materialise(_ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
     return joined(comp, common.materialise(verify(rest, docs), "links"))
 
@@ -309,9 +330,10 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, class_size, comp) of every row: the least doc_id of its class, the class's rows, and its component."""
     docs = docs.select("doc_id", "text")
     comp = links(docs)
-    rows = nodes(docs).select("doc_id", F.col("__node").alias("node"))
-    named = rows.join(comp, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    per = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    rows = docs.select("doc_id", digest("text").alias("node"))
+    named = common.materialise(rows.join(comp, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp")), "named")
+    # written, so that the join below has exchanges of its own, which can be split at a large class
+    per = common.materialise(named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return named.join(per, "comp").select("doc_id", "node", "class_id", "class_size", "comp")
 
 
@@ -320,10 +342,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = classes(docs).groupBy("comp", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
     # texts of one class can share a doc_id: the least text digest then; null only where no row has an id
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")).alias("x")
-    best = rows.groupBy("comp").agg(least).select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__kept"), F.col("x.n").alias("__n"))
-    best = common.materialise(best, "kept")
-    marked = nodes(docs)
-    on = F.expr("doc_id <=> __id and __node = __kept")
-    once = marked.join(best.where("__n = 1"), on).select(*docs.columns)
-    often = marked.join(best.where("__n > 1"), on).dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
+    best = common.materialise(rows.groupBy("comp").agg(least).select(F.col("x.doc_id").alias("id"), F.col("x.node").alias("kept"), F.col("x.n").alias("n")), "kept")
+    near = F.broadcast if common.small_enough(best, BROADCAST_BYTES, 96) else (lambda x: x)
+    # the document goes as one value, so that none of its columns can clash
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), digest("text").alias("node"))
+    on = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("kept"))
+    once = marked.join(near(best.where("n = 1")), on).select("doc.*")
+    often = marked.join(near(best.where("n > 1")), on).dropDuplicates(["kept", "id"]).select("doc.*")
     return once.union(often)

@@ -1,31 +1,34 @@
 """Scoring by a hierarchical Pitman-Yor language model, learned from the corpus itself.
 
-A restaurant for each context word shares one parent, the restaurant of single words, whose base is
-uniform over the vocabulary and one unknown word. Seating is sampled by Gibbs: in turn each dish of each
-restaurant gets a number of tables from its exact conditional (generalised Stirling numbers times the
-chance of further tables), then the parent, whose customers are these tables, likewise. After
-BURN sweeps, SAMPLES states are kept; the predictive probabilities of a token are averaged over them.
-
-Layout. Tokens (context, word, document) are dealt by the word's hash into buckets of about BUCKET bytes
-of text, hot words over several by their context too, and kept once, packed, in files of the shared
-folder: each file holds one task's tokens ordered by bucket, with offsets, so that any later task reads
-just its bucket's segments and a lost executor loses nothing. A bucket so has all of a word's customers; what it lacks, the
-totals of each context, goes through two exchanges: buckets send partial sums for their contexts, in parts by
-the contexts' hash, and get the totals back. While sampling, a bucket takes the totals of the last exchange, scaled by
-its own change; the totals used for scoring are exact for each kept state, so each state is a proper
-distribution. Nothing that grows with the vocabulary is broadcast or collected.
-
-Words and contexts are known by 64-bit hashes. Defined cases: a null text is empty and has the end token
-alone; a null doc_id counts as the empty text and learns; repeated rows each count and are each scored; an
-empty table gives no rows, and without training documents all words are unknown; further columns are ignored.
+Each context word has a restaurant, whose dishes are the words that follow it; all share one parent, the
+restaurant of single words, whose customers are their tables. The parent's base is a diffuse measure: what
+is new there is the unknown word, and a known word has one table there.
+
+Seating is sampled by Gibbs. Given the parent's distribution and one Gamma variable a restaurant, the numbers
+of tables of all dishes are independent (the Gamma integral takes the place of the product that couples the
+dishes of a restaurant), so a sweep draws in turn: the Gamma variable of every restaurant given its tables, the
+parent's distribution given all tables (Dirichlet), and then the tables of every dish of every restaurant from
+their exact conditional, with generalised Stirling numbers up to STIRLING customers and beyond from the
+binomial law that the conditional tends to. Each sweep uses the totals of the sweep before, over the whole corpus. After
+BURN sweeps, SAMPLES states are kept; the predictive probabilities of a token, given each state's seating, are averaged.
+
+Layout. Texts are cut into slices of about FLUSH tokens. Words are numbered, by falling count, in parts by their hash.
+Of a slice only the distinct pairs (context, word) travel, with their training counts, to buckets by the hash
+of the pair, so that no word and no context is a hot key; the order of its tokens stays in a file of the shared
+folder. Buckets ask parts for the totals of their contexts and words once a sweep. At the end buckets
+send each slice the scores of its pairs. All moves are Spark exchanges of packed arrays, linear in the input;
+files are one a slice, part or bucket, written under another name and renamed, and hold the same if a task is repeated.
+
+Defined cases: a null text is empty and has the end token alone; a null doc_id counts as the empty text and
+learns; repeated rows each count and are each scored; an empty table gives no rows, and without training
+documents all words are unknown; further columns are ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,21 +38,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import common
+from marlstone.llm import common, features
 
 SPACES = r"[\x20\x09-\x0D]+"
-BUCKET, PARTS_PER, FLUSH = 24 << 20, 4, 3_000_000
+#: Bytes of text a bucket, buckets a part, tokens a slice, bytes of text that are taken apart at once.
+BUCKET, PER_PART, FLUSH, SLICE_BYTES = 24 << 20, 4, 2_000_000, 2 << 20
 BURN, SAMPLES = 2, 3
+#: Concentrations of the contexts' restaurants and of the parent.
 THETA = (1.0, 1.0)
-#: Partial sums of documents travel as whole numbers of these.
-BASE_UNIT, SCORE_UNIT = 1e-9, 1e-6
-#: Texts from which hot words are told; a word that is missed merely makes a bucket larger.
-SAMPLE_TEXTS = 500
-START, END = np.uint64(1), np.uint64(2)
-STIRLING = 48
+#: Customers up to which the exact conditional is tabulated.
+STIRLING = 300
+END = np.uint64(2)
+#: Numbers that stand for no word: the start of a text as a context, and any word without training count.
+START, UNKNOWN, FIRST = 0, 1, 2
+#: Scores of pairs travel as whole numbers of these.
+UNIT = 1e-5
 MODULUS, HELD_OUT = 7, 2
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x):
@@ -95,7 +101,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 def _narrow(a: np.ndarray) -> np.ndarray:
     top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 # ---- tokens
@@ -115,33 +121,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes[codes[real]], np.cumsum(counts), END), counts + 1
 
 
-def bucket_of(w: np.ndarray, u: np.ndarray, buckets: int, hot: dict[int, int]) -> np.ndarray:
-    key = _mix(w)
-    if hot:
-        words = np.array(sorted(hot), np.uint64)
-        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-        mine = words[at] == w
-        salts = np.array([hot[x] for x in words.tolist()], np.uint64)
-        key[mine] = _mix(key[mine] + _mix(u[mine]) % salts[at[mine]] + np.uint64(1))
-    return (key % np.uint64(buckets)).astype(np.int64)
-
-
-def _segments(buckets: np.ndarray, w: np.ndarray, u: np.ndarray, row: np.ndarray, train: np.ndarray, n_buckets: int) -> list[bytes]:
-    """A packed segment for each bucket, empty where it has no tokens."""
-    order = np.lexsort((u, w, buckets))
-    buckets, w, u, row = buckets[order], w[order], u[order], row[order]
-    bounds = np.searchsorted(buckets, np.arange(n_buckets + 1))
-    out = []
-    for b in range(n_buckets):
-        s = slice(bounds[b], bounds[b + 1])
-        if bounds[b] == bounds[b + 1]:
-            out.append(b"")
-            continue
-        ws, n = np.unique(w[s], return_counts=True)
-        us, ui = np.unique(u[s], return_inverse=True)
-        rs, ri = np.unique(row[s], return_inverse=True)
-        out.append(_pack(ws, _narrow(n), us, _narrow(ui), rs.astype(np.uint64), train[rs], _narrow(ri)))
-    return out
+# ---- files of the shared folder
 
 
 def _filesystem(uri: str):
@@ -150,109 +130,59 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, out_dir: str, buckets: int, hot: dict[int, int]) -> list[str]:
-    """Deal all tokens out into files of packed segments; the files' names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        store, base = _filesystem(out_dir)
-        store.create_dir(base, recursive=True)
-        held, size = [], 0
-        names = []
-
-        def flush():
-            nonlocal held, size
-            w, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            ids = [i for x in held for i in x[2]]
-            u = np.concatenate([[START], w[:-1]]).astype(np.uint64)
-            u[u == END] = START
-            train = np.array([learns(i) for i in ids], np.uint8)
-            parts = _segments(bucket_of(w, u, buckets, hot), w, u, np.repeat(np.arange(len(n)), n), train, buckets)
-            # last, what is known of the documents themselves
-            parts.append(_pack(np.diff(np.array([i or 0 for i in ids], np.int64), prepend=0), np.array([i is None for i in ids], np.uint8), _narrow(n)))
-            name = f"{task.partitionId():06d}-{len(names):04d}.seg"
-            own = f"{base}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(own) as f:
-                f.write(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<i8").tobytes())
-                for p in parts:
-                    f.write(p)
-            store.move(own, f"{base}/{name}")
-            names.append(name)
-            held, size = [], 0
-
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                w, n = tokens(part.column(1))
-                held.append((w, n, part.column(0).to_pylist()))
-                size += len(w)
-                if size >= FLUSH:
-                    flush()
-        if held:
-            flush()
-        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
-
-    written = common.materialise(docs.select("doc_id", "text").mapInArrow(run, "name string"), "segments")
-    return sorted(r["name"] for r in written.collect())  # one name a file
-
-
-@dataclass
-class Bucket:
-    """A bucket's tokens: for each pair (word, context) its training count; for each token its pair and row."""
-
-    words: np.ndarray
-    pair_word: np.ndarray
-    contexts: np.ndarray
-    pair_context: np.ndarray
-    c: np.ndarray
-    token_pair: np.ndarray
-    token_row: np.ndarray
-    token_file: np.ndarray
-    rows: list[np.ndarray]
+def _put(out_dir: str, name: str, blob: bytes) -> None:
+    store, base = _filesystem(out_dir)
+    store.create_dir(base, recursive=True)
+    task = TaskContext.get()
+    own = f"{base}/.{name}.{task.taskAttemptId() if task else 0}"
+    with store.open_output_stream(own) as f:
+        f.write(blob)
+    store.move(own, f"{base}/{name}")
 
 
-def _segment(out_dir: str, name: str, b: int, buckets: int) -> list[np.ndarray] | None:
-    """The arrays of one of a file's segments; that of number ``buckets`` tells of its documents."""
+def _get(out_dir: str, name: str) -> list[np.ndarray]:
     store, base = _filesystem(out_dir)
     with store.open_input_file(f"{base}/{name}") as f:
-        start, end = (int(x) for x in np.frombuffer(f.read_at(16, 8 * b), "<i8"))
-        return _unpack(f.read_at(end - start, 8 * (buckets + 2) + start)) if end > start else None
-
-
-def read_bucket(out_dir: str, names: list[str], b: int, buckets: int) -> Bucket:
-    ws, us, rs, fs_, ts, rows = [], [], [], [], [], []
-    for k, name in enumerate(names):
-        found = _segment(out_dir, name, b, buckets)
-        if found is None:
-            rows.append(np.zeros(0, np.uint64))
-            continue
-        w, n, u, ui, r, train, ri = found
-        ws.append(np.repeat(w, n))
-        us.append(u[ui])
-        rs.append(ri.astype(np.uint32))
-        fs_.append(np.full(len(ri), k, np.uint32))
-        ts.append(train[ri])
-        rows.append(r)
-    none = np.zeros(0, np.uint64)
-    w, u = (np.concatenate(x) if x else none for x in (ws, us))
-    words, wi = np.unique(w, return_inverse=True)
-    contexts, ui = np.unique(u, return_inverse=True)
-    key = wi.astype(np.int64) * max(1, len(contexts)) + ui
-    pairs, pi = np.unique(key, return_inverse=True)
-    train = np.concatenate(ts) if ts else np.zeros(0, np.uint8)
-    c = np.bincount(pi, train, len(pairs)).astype(np.int64)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
-    return Bucket(words, pairs // max(1, len(contexts)), contexts, pairs % max(1, len(contexts)), c, pi, cat(rs), cat(fs_), rows)
+        return _unpack(f.read())
+
+
+# ---- draws that every bucket repeats alike
+
+
+def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    h = _mix(keys * _G + _mix(np.array([salt], np.uint64)))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
+    """A Gamma variable for each key, the same wherever it is drawn (Marsaglia and Tsang's method)."""
+    low = shape < 1
+    a = np.where(low, shape + 1, shape)
+    d = a - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, turn = np.zeros(len(a)), np.arange(len(a)), 0
+    while len(left):
+        u, v, w = (_uniform(keys[left], (seed << 16) + 4 * turn + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = (1 + c[left] * x) ** 3
+        ok = cube > 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok &= np.log(w) < 0.5 * x * x + d[left] * (1 - cube + np.log(np.where(cube > 0, cube, 1)))
+        out[left[ok]] = d[left[ok]] * cube[ok]
+        left, turn = left[~ok], turn + 1
+    own = np.flatnonzero(low)
+    out[own] *= _uniform(keys[own], (seed << 16) + 3) ** (1 / np.maximum(shape[own], 1e-3))
+    return out
 
 
 # ---- seating
 
 
-def log_stirling(d: float) -> np.ndarray:
-    """log of the generalised Stirling numbers S(c, t) of discount d, for c and t up to STIRLING."""
-    out = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
+def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
+    """log of the generalised Stirling numbers S(c, t) of discount d, for c and t up to ``most``."""
+    out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0.0
-    for c in range(STIRLING):
+    for c in range(most):
         t = np.arange(1, c + 2)
         with np.errstate(divide="ignore", invalid="ignore"):
             stay = out[c, t] + np.log(np.maximum(c - t * d, 0))
@@ -260,247 +190,395 @@ def log_stirling(d: float) -> np.ndarray:
     return out
 
 
-def sample_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers each, given the parent's probabilities and the other tables of their restaurants."""
+def limit_law(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of t - 1 that P(t) ~ S(c, t) a^t tends to: at c = STIRLING the mean of t is within 2 % of the exact one.
+
+    S(c, t) a^t / c! is the coefficient of z^c in (a (1 - (1 - z)^d) / d)^t / t!: t tables, Poisson in number, of
+    sizes that sum to c. z is chosen so that the expected sum is c."""
+    low, high = np.zeros(len(c)), np.ones(len(c))  # of 1 - z
+    for _ in range(60):
+        y = (low + high) / 2
+        more = a * (1 - y) * y ** (d - 1) > c
+        low, high = np.where(more, y, low), np.where(more, high, y)
+    y = (low + high) / 2
+    mean = a * (1 - y**d) / d
+    return mean, np.maximum(mean - c**2 / (c + a * (1 - y) ** 2 * (1 - d) * y ** (d - 2)), 0)
+
+
+def sample_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with c customers, each with P(t) ~ S(c, t) a^t; a is what a table weighs."""
     t = (c > 0).astype(np.int64)
-    stirling = log_stirling(d)
-    for n in range(2, STIRLING + 1):
-        own = np.flatnonzero(c == n)
-        if len(own):
-            k = np.arange(n)
-            weight = stirling[n, 1 : n + 1] + np.cumsum(np.log(theta + d * (others[own][:, None] + k)) + np.log(p[own])[:, None], axis=1)
-            chance = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[own] = 1 + (chance < (rng.random(len(own)) * chance[:, -1])[:, None]).sum(axis=1)
-    own = np.flatnonzero(c > STIRLING)
-    if len(own):  # many customers are seated one after another, in growing groups
-        n, prob, rest = c[own], p[own], others[own]
-        tables, seated = np.ones(len(own), np.int64), np.ones(len(own), np.int64)
-        while True:
-            group = np.minimum(np.maximum(1, seated // 8), n - seated)
-            if not group.any():
-                break
-            new = (theta + d * (rest + tables)) * prob
-            tables += rng.binomial(group, np.minimum(1.0, new / (new + seated - d * tables)))
-            seated += group
-        t[own] = tables
+    by_count = np.argsort(c, kind="stable")
+    counts, firsts = np.unique(c[by_count], return_index=True)
+    log_a = np.log(np.maximum(a, 1e-300))
+    for n, same in zip(counts.tolist(), np.split(by_count, firsts[1:])):
+        if 2 <= n <= STIRLING:
+            for own in np.array_split(same, -(-len(same) * n // 1_000_000)):
+                weight = stirling[n, 1 : n + 1] + log_a[own][:, None] * np.arange(1, n + 1)
+                chance = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                t[own] = 1 + (chance < (rng.random(len(own)) * chance[:, -1])[:, None]).sum(axis=1)
+    many = np.flatnonzero(c > STIRLING)
+    if len(many):
+        mean, variance = limit_law(c[many].astype(np.float64), np.maximum(a[many], 1e-12), d)
+        trials = np.rint(mean / np.maximum(1 - variance / mean, 1e-9)).astype(np.int64) + 1  # a binomial law of this mean and variance
+        t[many] = np.minimum(1 + rng.binomial(trials, np.minimum(mean / trials, 1.0)), c[many])
     return t
 
 
 @dataclass
 class Totals:
-    """Of the whole corpus, as far as known: counts, discounts, and the figures of hot words by hash."""
+    """Of the whole corpus: training tokens, known words, discounts; and of a state the tables and the sum of the parent's Gamma variables."""
 
     n: int
     vocabulary: int
-    types: int
-    discounts: tuple[float, float]
-    hot_count: dict[int, int]
-    hot_types: dict[int, int]
-    customers: list[int] = field(default_factory=list)
-    tables: list[int] = field(default_factory=list)
-    hot_customers: list[dict[int, int]] = field(default_factory=list)
-    hot_tables: list[dict[int, int]] = field(default_factory=list)
-
-
-def _of_hot(words: np.ndarray, hot: dict[int, int]) -> np.ndarray:
-    """For each word its figure, -1 if it is not hot."""
-    out = np.full(len(words), -1, np.int64)
-    for w, x in hot.items():
-        i = np.searchsorted(words, np.uint64(w))
-        if i < len(words) and words[i] == np.uint64(w):
-            out[i] = x
-    return out
+    d1: float = 0.5
+    d0: float = 0.5
+    tables: int = 0
+    gammas: float = 0.0
+
 
+def parent_draws(words: np.ndarray, customers: np.ndarray, d0: float, seed: int) -> np.ndarray:
+    """Unnormalised weights of known words in the parent, given their customers."""
+    return np.where(customers > 0, gamma(np.maximum(customers - d0, 1e-2), words.astype(np.uint64), 2 * seed + 1), 0.0)
 
-def seat(bk: Bucket, context_tables: np.ndarray, total: Totals, seed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The kept states: tables of each pair, and of each word in the parent (hot words' are not used)."""
-    rng = np.random.default_rng(seed)
-    (d1, d0), (theta1, theta0) = total.discounts, THETA
-    base = 1 / (total.vocabulary + 1)
-    t = (bk.c > 0).astype(np.int64)
-    n_words = len(bk.words)
-    local_types = np.bincount(bk.pair_word, t, n_words)
-    hot_types = _of_hot(bk.words, total.hot_types)
-    whole = np.where(hot_types > 0, hot_types / np.maximum(local_types, 1), 1.0)  # of a hot word's tables a part is here
-    types_here, words_here = max(1.0, local_types.sum()), max(1, int((local_types > 0).sum()))
-    tw = (local_types > 0).astype(np.int64)
-    for sweep in range(BURN + SAMPLES):
-        grown = t.sum() / types_here
-        customers = np.bincount(bk.pair_word, t, n_words) * whole
-        top_tables = total.vocabulary * tw.sum() / words_here
-        p = (np.maximum(customers - d0 * tw, 0) + (theta0 + d0 * top_tables) * base) / (theta0 + total.types * grown)
-        t = sample_tables(bk.c, p[bk.pair_word], np.maximum(context_tables[bk.pair_context] * grown - t, 0), d1, theta1, rng)
-        customers = np.rint(np.bincount(bk.pair_word, t, n_words) * whole).astype(np.int64)
-        tw = sample_tables(customers, np.full(n_words, base), np.full(n_words, max(0.0, top_tables - 1)), d0, theta0, rng)
-        if sweep >= BURN:
-            yield t, tw
-
-
-# ---- exchanges
-
-UP = "q long, b long, blob binary"
-
-
-def _parts(contexts: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """The places of the sorted contexts in each part: a range of hashes, so that their differences stay small."""
-    part = ((contexts >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    bounds = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-    return [(q, np.arange(bounds[q], bounds[q + 1])) for q in range(parts)]
-
-
-def _requests(bk: Bucket, b: int, parts: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """By part of the contexts: their hashes and this bucket's sums of values over their pairs."""
-    sums = [np.bincount(bk.pair_context, v, len(bk.contexts)) for v in values]
-    for q, own in _parts(bk.contexts, parts):
-        if len(own):
-            yield q, b, _pack(bk.contexts[own], *(_narrow(s[own]) for s in sums))
-
-
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals over all buckets, for each bucket in the order of its request."""
+
+def draw(c: np.ndarray, word: np.ndarray, context: np.ndarray, words: np.ndarray, contexts: np.ndarray, tables_of: np.ndarray, customers_of: np.ndarray, total: Totals, seed: int, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
+    """One sweep's tables of some pairs; tables_of and customers_of: the last state's totals of the contexts and of the words."""
+    x = gamma(THETA[0] / total.d1 + tables_of, contexts.astype(np.uint64), 2 * seed)
+    beta = parent_draws(words, customers_of, total.d0, seed)
+    rest = np.random.default_rng([seed, 7]).gamma(THETA[1] + total.d0 * total.vocabulary)
+    return sample_tables(c, total.d1 * x[context] * beta[word] / (total.gammas + rest), total.d1, stirling, rng)
+
+
+def predictive(c: np.ndarray, t: np.ndarray, word: np.ndarray, context: np.ndarray, known: np.ndarray, customers_of: np.ndarray, count_of: np.ndarray, tables_of: np.ndarray, total: Totals) -> np.ndarray:
+    """Probabilities of pairs given a state's seating."""
+    new = (THETA[1] + total.d0 * total.vocabulary) / (THETA[1] + total.tables)
+    p = np.where(known, (customers_of - total.d0) / (THETA[1] + total.tables), new)
+    return (np.maximum(c - total.d1 * t, 0) + (THETA[0] + total.d1 * tables_of[context]) * p[word]) / (THETA[0] + count_of[context])
+
+
+def _discount(ones: float, twos: float) -> float:
+    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
+
+
+# ---- the passes
+
+MOVED = "part long, other string, blob binary, s0 long, s1 long, s2 long, s3 long"
+
+
+def _row(part: int, other: str, blob: bytes, *sums: int) -> tuple:
+    return (part, other, blob, *(int(x) for x in sums), *([0] * (4 - len(sums))))
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "other", "blob", "s0", "s1", "s2", "s3"])
+
+
+def _grouped(df: DataFrame, key: str, parts: int):
+    return df.repartition(parts, key).groupBy(key)
+
+
+def _sums(moved: DataFrame) -> list[int]:
+    return [x or 0 for x in moved.agg(*(F.sum(f"s{i}") for i in range(4))).first()]
+
+
+def slices(out_dir: str, parts: int):
+    """Pass over the texts: a file for each slice, and its distinct words to the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number, place = [], 0, 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, number
+            w, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            ids = [i for x in held for i in x[2]]
+            words, codes = np.unique(w, return_inverse=True)
+            train = np.repeat(np.array([learns(i) for i in ids], bool), n)
+            counts = np.bincount(codes, train, len(words)).astype(np.int64)
+            name = f"{place:06d}-{number:04d}"
+            null = np.array([i is None for i in ids], np.uint8)
+            _put(f"{out_dir}/slices", name, _pack(np.diff(np.array([i or 0 for i in ids], np.int64), prepend=0), null, _narrow(n), _narrow(codes)))
+            part = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ranges of the hash
+            bounds = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+            rows = [_row(q, name, _pack(words[i:j], _narrow(counts[i:j]))) for q, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+            held, size, number = [], 0, number + 1
+            return pa.RecordBatch.from_pandas(_frame(rows), preserve_index=False)
+
+        for b in batches:
+            for i, k in features.slices(b.column(1), SLICE_BYTES):
+                w, n = tokens(b.column(1).slice(i, k))
+                held.append((w, n, b.column(0).slice(i, k).to_pylist()))
+                size += len(w)
+                if size >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def number(group: pd.DataFrame) -> pd.DataFrame:
+    """A part counts its words and numbers the known ones by falling count; the answers are in the order of the requests."""
+    q = int(group["part"].iloc[0])
     asked = [_unpack(x) for x in group["blob"]]
-    ids = np.concatenate([a[0] for a in asked])
-    distinct, at = np.unique(ids, return_inverse=True)
-    totals = [np.bincount(at, np.concatenate([a[i] for a in asked]), len(distinct)) for i in range(1, len(asked[0]))]
+    words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
+    order = np.argsort(-counts, kind="stable")
+    index = np.empty(len(words), np.int64)
+    index[order] = np.arange(len(words))
     ends = np.cumsum([len(a[0]) for a in asked])
-    places = [at[e - len(a[0]) : e] for a, e in zip(asked, ends)]
-    return pd.DataFrame({"q": group["q"], "b": group["b"], "blob": [_pack(*(_narrow(v[i]) for v in totals)) for i in places]})
+    rows = [_row(q, "", b"", counts.sum(), (counts > 0).sum())]
+    for name, end, (own, _) in zip(group["other"], ends, asked):
+        mine = at[end - len(own) : end]
+        rows.append(_row(q, name, _pack(_narrow(index[mine]), _narrow(counts[mine]))))
+    return _frame(rows)
+
+
+def pairs_of(out_dir: str, parts: int, buckets: int, total: Totals):
+    """A slice learns the numbers of its words and sends its distinct pairs to the buckets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        name = group["other"].iloc[0]
+        ids, null, n, codes = _get(f"{out_dir}/slices", name)
+        numbers, counts = [], []
+        for q, blob in sorted(zip(group["part"], group["blob"])):
+            index, c = _unpack(blob)
+            numbers.append(np.where(c > 0, index.astype(np.int64) * parts + q + FIRST, UNKNOWN))
+            counts.append(c.astype(np.int64))
+        numbers, counts = np.concatenate(numbers), np.concatenate(counts)
+        base = np.log10((counts + 1) / (total.n + total.vocabulary + 1))
+        row = np.repeat(np.arange(len(n)), n)
+        n_known, base_sum = np.bincount(row, (counts > 0)[codes], len(n)), np.bincount(row, base[codes], len(n))
+        # pairs by places among this slice's numbers
+        distinct, short = np.unique(np.append(numbers, [START, UNKNOWN]), return_inverse=True)
+        w = short[codes]
+        u = np.append(0, w[:-1])  # START is the least
+        u[np.cumsum(n, dtype=np.int64)[:-1]] = 0
+        pairs, at = np.unique(w * len(distinct) + u, return_inverse=True)
+        real = np.cumsum(ids)
+        learned = np.array([learns(None if z else i) for i, z in zip(real.tolist(), null.tolist())], bool)
+        c = np.bincount(at, learned[row], len(pairs)).astype(np.int64)
+        w, u = distinct[pairs // len(distinct)], distinct[pairs % len(distinct)]
+        bucket = (_mix(_mix(w.astype(np.uint64)) + u.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        _put(out_dir, f"order-{name}", _pack(ids, null, n, _narrow(n_known.astype(np.int64)), base_sum, _narrow(place[at])))
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            if j > i:
+                own = order[i:j]
+                rows.append(_row(b, name, _pack(w[own].astype(np.uint64), _narrow(u[own]), _narrow(c[own]))))
+        return _frame(rows)
+
+    return run
+
+
+def _by_part(ids: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places of the ids of each part."""
+    part = np.where(ids < FIRST, 0, (ids - FIRST) % parts)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
+
+
+def gather(out_dir: str, parts: int):
+    """A bucket merges what all slices know of its pairs, and asks the parts for the first totals."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("other")
+        b = int(group["part"].iloc[0])
+        got = [_unpack(x) for x in group["blob"]]
+        w, u, c = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in range(3))
+        sizes = np.array([len(g[0]) for g in got], np.int64)
+        words, w = np.unique(w, return_inverse=True)
+        contexts, u = np.unique(u, return_inverse=True)
+        pairs, at = np.unique(w * len(contexts) + u, return_inverse=True)
+        c = np.bincount(at, c, len(pairs)).astype(np.int64)
+        word, context = pairs // len(contexts), pairs % len(contexts)
+        names = np.frombuffer("".join(group["other"]).encode(), np.uint8)
+        steps = [np.diff(x, prepend=0) for x in np.split(at, np.cumsum(sizes)[:-1])]  # each slice's pairs are in order
+        _put(out_dir, f"bucket-{b}", _pack(words.astype(np.uint64), contexts.astype(np.uint64), _narrow(np.diff(word, prepend=0)), _narrow(context), _narrow(c), sizes, names, _narrow(np.concatenate(steps))))
+        one = (c > 0).astype(np.int64)
+        count, types, customers = np.bincount(context, c, len(contexts)), np.bincount(context, one, len(contexts)), np.bincount(word, one, len(words))
+        rows = [_row(-1, "", b"", (c == 1).sum(), (c == 2).sum())]
+        for q, (i, j) in enumerate(zip(_by_part(contexts, parts), _by_part(words, parts))):
+            if len(i) + len(j):
+                rows.append(_row(q, str(b), _pack(contexts[i].astype(np.uint64), _narrow(count[i]), _narrow(types[i]), words[j].astype(np.uint64), _narrow(customers[j]))))
+        return _frame(rows)
+
+    return run
+
+
+@dataclass
+class Bucket:
+    words: np.ndarray
+    contexts: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    c: np.ndarray
+    slices: list[tuple[str, np.ndarray]]
+
+
+def read_bucket(out_dir: str, b: int) -> Bucket:
+    words, contexts, word, context, c, sizes, names, steps = _get(out_dir, f"bucket-{b}")
+    names = names.tobytes().decode()
+    width = len(names) // max(1, len(sizes))
+    each = [(names[i * width : (i + 1) * width], np.cumsum(x, dtype=np.int64)) for i, x in enumerate(np.split(steps, np.cumsum(sizes)[:-1]))]
+    return Bucket(words.astype(np.int64), contexts.astype(np.int64), np.cumsum(word, dtype=np.int64), context.astype(np.int64), c.astype(np.int64), each)
+
+
+def _totals(ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct ids, their sums, and the sums in the order of each request."""
+    distinct, at = np.unique(np.concatenate(ids), return_inverse=True)
+    sums = np.bincount(at, np.concatenate(values), len(distinct)).astype(np.int64)
+    return distinct, sums, np.split(sums[at], np.cumsum([len(x) for x in ids])[:-1])
+
+
+def first_totals(out_dir: str):
+    """A part keeps which ids each bucket asks for, and answers with the totals of counts, tables and customers."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q = int(group["part"].iloc[0])
+        asked = [_unpack(x) for x in group["blob"]]
+        _put(out_dir, f"part-{q}", _pack(np.array([int(b) for b in group["other"]], np.int64), *(a[i] for a in asked for i in (0, 3))))
+        contexts, words = [a[0].astype(np.int64) for a in asked], [a[3].astype(np.int64) for a in asked]
+        _, _, count = _totals(contexts, [a[1] for a in asked])
+        _, _, tables = _totals(contexts, [a[2] for a in asked])
+        _, sums, customers = _totals(words, [a[4] for a in asked])
+        rows = [_row(q, "", b"", sums.sum(), 0, (sums == 1).sum(), (sums == 2).sum())]
+        rows += [_row(q, b, _pack(_narrow(x), _narrow(y), _narrow(z))) for b, x, y, z in zip(group["other"], count, tables, customers)]
+        return _frame(rows)
+
+    return run
+
 
+GAMMA_UNIT = 2.0**-10
 
-def _answers(bk: Bucket, group: pd.DataFrame, parts: int) -> list[np.ndarray]:
-    places = dict(_parts(bk.contexts, parts))
+
+def gamma_sum(words: np.ndarray, customers: np.ndarray, d0: float, seed: int) -> int:
+    """The sum of the parent's Gamma variables, as a whole number of units, so that the order of summation is all one."""
+    return int(np.rint(parent_draws(words, customers, d0, seed) / GAMMA_UNIT).sum())
+
+
+def next_totals(out_dir: str, total: Totals, seed: int):
+    """A part sums a state's tables; and the Gamma variables that the next sweep will draw from it."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q = int(group["part"].iloc[0])
+        buckets, *ids = _get(out_dir, f"part-{q}")
+        of = {b: (ids[2 * i].astype(np.int64), ids[2 * i + 1].astype(np.int64)) for i, b in enumerate(buckets.tolist())}
+        asked = [_unpack(x) for x in group["blob"]]
+        mine = [of[int(b)] for b in group["other"]]
+        _, _, tables = _totals([x[0] for x in mine], [a[0] for a in asked])
+        words, sums, customers = _totals([x[1] for x in mine], [a[1] for a in asked])
+        rows = [_row(q, "", b"", sums.sum(), gamma_sum(words, sums, total.d0, seed))]
+        rows += [_row(q, b, _pack(_narrow(x), _narrow(y))) for b, x, y in zip(group["other"], tables, customers)]
+        return _frame(rows)
+
+    return run
+
+
+def _answered(bk: Bucket, group: pd.DataFrame, parts: int) -> list[np.ndarray]:
+    """Totals from all parts, of contexts, and last of words."""
+    contexts, words = _by_part(bk.contexts, parts), _by_part(bk.words, parts)
     out: list[np.ndarray] = []
-    for q, blob in zip(group["q"], group["blob"]):
-        own = places[q]
-        for i, v in enumerate(_unpack(blob)):
-            if i == len(out):
-                out.append(np.zeros(len(bk.contexts)))
-            out[i][own] = v
+    for q, blob in zip(group["part"], group["blob"]):
+        got = _unpack(blob)
+        out = out or [*(np.zeros(len(bk.contexts), np.int64) for _ in got[1:]), np.zeros(len(bk.words), np.int64)]
+        for x, v in zip(out, got):
+            x[(words if x is out[-1] else contexts)[q]] = v
     return out
 
 
-def _discount(ones: float, twos: float) -> float:
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
+def sweep(out_dir: str, parts: int, total: Totals, seed: int, name: str):
+    """A bucket draws the tables of all its pairs, keeps them, and sends the parts its sums."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        b = int(group["other"].iloc[0])
+        bk = read_bucket(out_dir, b)
+        *_, tables_of, customers_of = _answered(bk, group, parts)
+        t = draw(bk.c, bk.word, bk.context, bk.words, bk.contexts, tables_of, customers_of, total, seed, np.random.default_rng([seed, b]), log_stirling(total.d1))
+        _put(out_dir, f"{name}-{b}", _pack(_narrow(t)))
+        tables, customers = np.bincount(bk.context, t, len(bk.contexts)), np.bincount(bk.word, t, len(bk.words))
+        own = enumerate(zip(_by_part(bk.contexts, parts), _by_part(bk.words, parts)))
+        return _frame([_row(q, str(b), _pack(_narrow(tables[i]), _narrow(customers[j]))) for q, (i, j) in own if len(i) + len(j)])
 
+    return run
 
-def hot_words(docs: DataFrame, buckets: int) -> dict[int, int]:
-    """Words that would fill a good part of a bucket, with the number of buckets over which each is dealt."""
-    texts = [r[0] for r in common.hash_sample(docs.where("text is not null"), "doc_id", SAMPLE_TEXTS).select("text").collect()]
-    counts: Counter = Counter()
-    for i in range(0, len(texts), 50):
-        w, n = np.unique(tokens(pa.array(texts[i : i + 50], pa.string()))[0], return_counts=True)
-        for k, v in zip(w.tolist(), n.tolist()):
-            counts[k] += v
-    least = sum(counts.values()) / (4 * buckets)
-    return {w: int(np.ceil(n / least)) for w, n in counts.items() if n > least} if buckets > 1 else {}
 
+def judge(out_dir: str, parts: int, states: list[tuple[str, Totals]]):
+    """A bucket averages its pairs' probabilities over the kept states and sends each slice those of its pairs."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        b = int(group["other"].iloc[0])
+        bk = read_bucket(out_dir, b)
+        count_of, _, _ = _answered(bk, group[group["state"] == -1], parts)
+        mean = np.zeros(len(bk.c))
+        for s, (name, total) in enumerate(states):
+            tables_of, customers_of = _answered(bk, group[group["state"] == s], parts)
+            t = _get(out_dir, f"{name}-{b}")[0].astype(np.int64)
+            mean += predictive(bk.c, t, bk.word, bk.context, bk.words >= FIRST, customers_of, count_of, tables_of, total) / len(states)
+        score = _narrow(np.rint(np.log10(mean) / -UNIT).astype(np.int64))
+        return _frame([_row(b, name, _pack(score[own])) for name, own in bk.slices])
+
+    return run
 
-def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None) -> DataFrame:
+
+def merge(out_dir: str):
+    """The rows of a slice, with the sums of its tokens' scores."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, null, n, n_known, base, place = _get(out_dir, f"order-{group['other'].iloc[0]}")
+        score = np.concatenate([_unpack(x)[0].astype(np.int64) for _, x in sorted(zip(group["part"], group["blob"]))])
+        row = np.repeat(np.arange(len(n)), n)
+        sums = np.bincount(row, score[place], len(n))
+        out = pd.DataFrame({"doc_id": pd.array(np.cumsum(ids), "Int64"), "n_tokens": n.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": -sums * UNIT})
+        out.loc[null.astype(bool), "doc_id"] = pd.NA
+        return out
+
+    return run
+
+
+def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, -(-size // (bucket_bytes or BUCKET))))
-    parts = max(1, buckets // PARTS_PER)
-    hot = hot_words(docs, buckets)
-    out_dir = common.scratch_path(spark, "tokens")
-    names = write_tokens(docs, out_dir, buckets, hot)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for batch in batches for x in batch.column(0).to_pylist()):
-            bk = read_bucket(out_dir, names, b, buckets)
-            one = (bk.c > 0).astype(np.int64)
-            cw, types = np.bincount(bk.pair_word, bk.c, len(bk.words)), np.bincount(bk.pair_word, one, len(bk.words))
-            is_hot = _of_hot(bk.words, hot) >= 0
-            cold = types[~is_hot]
-            sums = np.array([bk.c.sum(), (cold > 0).sum(), types.sum(), (bk.c == 1).sum(), (bk.c == 2).sum(), (cold == 1).sum(), (cold == 2).sum()], np.float64)
-            rows = [(-1, b, _pack(sums, bk.words[is_hot], cw[is_hot].astype(np.int64), types[is_hot].astype(np.int64))), *_requests(bk, b, parts, bk.c, one)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["q", "b", "blob"])
-
-    first = common.materialise(spark.range(0, buckets, 1, buckets).mapInArrow(count, UP), "counts")
-    sums, hot_count, hot_types = np.zeros(7), Counter(), Counter()
-    for r in first.where("q = -1").select("blob").collect():  # figures of each bucket, and of its hot words
-        own, w, c, types = _unpack(r["blob"])
-        sums += own
-        hot_count.update(dict(zip(w.tolist(), c.tolist())))
-        hot_types.update(dict(zip(w.tolist(), types.tolist())))
-    known_hot = [w for w, c in hot_count.items() if c > 0]
-    total = Totals(int(sums[0]), int(sums[1]) + len(known_hot), int(sums[2]), (_discount(sums[3], sums[4]), _discount(sums[5], sums[6])), dict(hot_count), {w: hot_types[w] for w in known_hot})
-
-    def answered(requests: DataFrame) -> DataFrame:
-        totals = requests.where("q >= 0").repartition(parts, "q").groupBy("q").applyInPandas(_answer, UP)
-        return totals.repartition(buckets, "b").groupBy("b")
-
-    def sample(group: pd.DataFrame) -> pd.DataFrame:
-        b = int(group["b"].iloc[0])
-        bk = read_bucket(out_dir, names, b, buckets)
-        context_count, context_types = _answers(bk, group, parts)
-        is_hot = _of_hot(bk.words, hot) >= 0
-        states = list(seat(bk, context_types, total, [seed, b]))
-        sums = np.array([[t.sum(), tw[~is_hot].sum()] for t, tw in states], np.float64).ravel()
-        customers = [np.bincount(bk.pair_word, t, len(bk.words))[is_hot].astype(np.int64) for t, _ in states]
-        rows = [(-1, b, _pack(sums, bk.words[is_hot], *customers)), *_requests(bk, b, parts, bk.c, (bk.c > 0).astype(np.int64), *(t for t, _ in states))]
-        return pd.DataFrame(rows, columns=["q", "b", "blob"])
-
-    second = common.materialise(answered(first).applyInPandas(sample, UP), "seated")
-    common.discard(first)
-    sums, hot_customers = np.zeros(2 * SAMPLES), [Counter() for _ in range(SAMPLES)]
-    for r in second.where("q = -1").select("blob").collect():
-        own, w, *customers = _unpack(r["blob"])
-        sums += own
-        for s, c in enumerate(customers):
-            hot_customers[s].update(dict(zip(w.tolist(), c.tolist())))
-    rng = np.random.default_rng([seed, buckets])
-    for s in range(SAMPLES):
-        w = sorted(hot_customers[s])
-        c = np.array([hot_customers[s][x] for x in w], np.int64)
-        tables = sample_tables(c, np.full(len(c), 1 / (total.vocabulary + 1)), np.full(len(c), sums[2 * s + 1]), total.discounts[1], THETA[1], rng)
-        total.customers.append(int(sums[2 * s]))
-        total.hot_customers.append(dict(zip(w, c.tolist())))
-        total.hot_tables.append(dict(zip(w, tables.tolist())))
-        total.tables.append(int(sums[2 * s + 1]) + int(tables.sum()))
-
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        b = int(group["b"].iloc[0])
-        bk = read_bucket(out_dir, names, b, buckets)
-        context_count, context_types, *context_tables = _answers(bk, group, parts)
-        (d1, d0), (theta1, theta0) = total.discounts, THETA
-        n_words = len(bk.words)
-        mean = np.zeros(len(bk.c))
-        for s, (t, tw) in enumerate(seat(bk, context_types, total, [seed, b])):
-            customers = np.bincount(bk.pair_word, t, n_words)
-            for figures, into in ((total.hot_customers[s], customers), (total.hot_tables[s], tw)):
-                own = _of_hot(bk.words, figures)
-                into[own >= 0] = own[own >= 0]
-            p = (np.maximum(customers - d0 * tw, 0) + (theta0 + d0 * total.tables[s]) / (total.vocabulary + 1)) / (theta0 + total.customers[s])
-            tu, cu = context_tables[s][bk.pair_context], context_count[bk.pair_context]
-            mean += (np.maximum(bk.c - d1 * t, 0) + (theta1 + d1 * tu) * p[bk.pair_word]) / (theta1 + cu) / SAMPLES
-        cw = np.bincount(bk.pair_word, bk.c, n_words)
-        own = _of_hot(bk.words, total.hot_count)
-        cw[own >= 0] = own[own >= 0]
-        by_pair = (np.log10(mean), np.log10(cw + 1)[bk.pair_word], (cw == 0)[bk.pair_word].astype(np.float64))
-        rows = []
-        for k, ids in enumerate(bk.rows):
-            if len(ids):
-                mine = bk.token_file == k
-                pair, row = bk.token_pair[mine], bk.token_row[mine]
-                lp, base, unknown = (np.bincount(row, v[pair], len(ids)) for v in by_pair)
-                rows.append((k, b, _pack(ids, _narrow(unknown), np.rint(base / BASE_UNIT).astype(np.int64), np.rint(-lp / SCORE_UNIT).astype(np.int64))))
-        return pd.DataFrame(rows, columns=["q", "b", "blob"])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        ids, null, n = _segment(out_dir, names[int(group["q"].iloc[0])], buckets, buckets)
-        sums = np.zeros((3, len(n)), np.int64)
-        for blob in group["blob"]:  # a row is in a bucket's blob once
-            rows, *values = _unpack(blob)
-            for total_of, v in zip(sums, values):
-                total_of[rows.astype(np.int64)] += v.astype(np.int64)
-        out = pd.DataFrame({"doc_id": pd.array(np.cumsum(ids), "Int64"), "n_tokens": n.astype(np.int64), "n_known": n.astype(np.int64) - sums[0], "base_sum": sums[1] * BASE_UNIT, "score": sums[2] * -SCORE_UNIT})
-        out.loc[null.astype(bool), "doc_id"] = pd.NA
-        return out
-
-    # rows of the third pass go together by the file that holds them
-    judged = answered(second).applyInPandas(judge, UP)
-    merged = judged.repartition(max(1, len(names)), "q").groupBy("q").applyInPandas(merge, "doc_id long, n_tokens long, n_known long, base_sum double, score double")
-    per_token = float(np.log10(total.n + total.vocabulary + 1))
-    return merged.select("doc_id", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * per_token).alias("base_score"), "score")
+    parts = max(1, buckets // PER_PART)
+    out_dir = common.scratch_path(spark, "pitman-yor")
+
+    asked = docs.mapInArrow(common.frugal_batches(slices(out_dir, parts)), MOVED)
+    numbered = common.materialise(_grouped(asked, "part", parts).applyInPandas(common.frugal_group(number), MOVED), "numbers")
+    n, vocabulary, _, _ = _sums(numbered)
+    total = Totals(n, vocabulary)
+    answers = numbered.where("other <> ''")
+    n_slices = max(1, answers.agg(F.countDistinct("other")).first()[0])
+    pairs = _grouped(answers, "other", n_slices).applyInPandas(common.frugal_group(pairs_of(out_dir, parts, buckets, total)), MOVED)
+    asked = common.materialise(_grouped(pairs, "part", buckets).applyInPandas(common.frugal_group(gather(out_dir, parts)), MOVED), "asked")
+    common.remove(spark, f"{out_dir}/slices")
+    ones, twos, _, _ = _sums(asked)
+    total.d1 = _discount(ones, twos)
+    first = common.materialise(_grouped(asked.where("part >= 0"), "part", parts).applyInPandas(common.frugal_group(first_totals(out_dir)), MOVED), "totals")
+    total.tables, _, ones, twos = _sums(first)
+    total.d0 = _discount(ones, twos)
+
+    # the first state has one table a pair; its Gamma variables are not summed yet
+    answers, states = first.where("other <> ''"), []
+    total.gammas = float(max(0.0, total.tables - total.d0 * total.vocabulary))  # their expectation
+    for k in range(burn + samples):
+        own, name = seed * 1000 + k, f"tables{k}"
+        sent = _grouped(answers, "other", buckets).applyInPandas(common.frugal_group(sweep(out_dir, parts, total, own, name)), MOVED)
+        state = common.materialise(_grouped(sent, "part", parts).applyInPandas(common.frugal_group(next_totals(out_dir, total, own + 1)), MOVED), "totals")
+        tables, gammas, _, _ = _sums(state)
+        total = Totals(n, vocabulary, total.d1, total.d0, tables, gammas * GAMMA_UNIT)
+        answers = state.where("other <> ''")
+        if k >= burn:
+            states.append((name, total, answers))
+    marked = first.where("other <> ''").withColumn("state", F.lit(-1))
+    for s, (_, _, a) in enumerate(states):
+        marked = marked.unionByName(a.withColumn("state", F.lit(s)))
+    judged = _grouped(marked, "other", buckets).applyInPandas(common.frugal_group(judge(out_dir, parts, [x[:2] for x in states])), MOVED)
+    merged = _grouped(judged, "other", n_slices).applyInPandas(common.frugal_group(merge(out_dir)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return merged.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,24 +2,30 @@
 
 A text is cut into units: a word with the spaces before it (as U+2581), or with the line break before
 it. Within a unit the agenda repeatedly takes the best candidate merge (best score, then leftmost). A
-candidate whose keyed hash - of the seed, the unit, the document, the unit's place in it, where the candidate starts
-and what it makes - falls below the dropout rate is skipped. So every occurrence of a word is cut by decisions of its own,
-and the same input and seed always give the same ids. The occurrences of a unit in a batch go through the agenda as
-one for as long as their decisions agree, and part where one skips what others merge. All go
-through it together, one candidate each a round, as array operations.
+candidate whose keyed hash - of the seed, the unit, the document, the unit's place in it, where the
+candidate starts and what it makes - falls below the dropout rate is skipped. So every occurrence of a
+word is cut by decisions of its own, and the same input and seed always give the same ids.
+
+The agenda is a heap, so a unit of n characters takes n log n steps however long it is. What the
+decisions of an occurrence lead to does not depend on the document, so a worker keeps the decisions it
+has met for a unit as a tree: each node is a candidate, its two branches are to merge and to skip, its
+leaves are segmentations. All occurrences of a batch walk down their trees together, one hash a step,
+as array operations; only those that leave a tree go through the agenda, and extend it. The trees are
+a cache of bounded size and change no result.
 
 Nothing is normalised. Characters without a piece, and U+2581 itself, become byte pieces, so decoding
 gives back exactly the text; with dropout 0 the ids are those of the sentencepiece library for texts
 that its normaliser leaves alone.
 
-Defined cases: null stays null, the empty text has no ids; repeated rows get equal ids; further columns
-are kept; long words and texts are never cut.
+Defined cases: null stays null, the empty text has no ids; repeated rows get equal ids; a null doc_id
+counts as -1; long words and texts are never cut; further columns are kept, but one with the name of
+the added column gives way to it.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,185 +37,359 @@ from marlstone.llm import features
 SPACE = "▁"
 #: Stands for U+2581 of a text itself; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
-NONE = np.int64(1) << 40
-#: Units longer than this go through the agenda alone, so that they do not widen the arrays of others.
-WIDE = 64
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 #: Texts whose units are not simply their parts between spaces and before line breaks.
 ODD = r"  | \n|\A[ \n]|[ ]\z"
+#: Longer units have no tree; neither have those that a worker meets once.
+LONG = 40
+#: A worker's trees are dropped when they grow beyond these.
+MAX_UNITS, MAX_NODES = 200_000, 2_000_000
+MASK = (1 << 64) - 1
+C1, C2, PHI = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
+GOLDEN = np.uint64(PHI)
+NONE = np.int64(1) << 40
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit integers (splitmix64's finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(C1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(C2)
     return x ^ (x >> np.uint64(31))
 
 
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
+class Pieces:
+    """The pieces of a .model file, and the bytes that each stands for."""
 
-@dataclass
-class Model:
-    """Pieces and merges of a .model file."""
-
-    path: str
-    bytes_of: list[bytes] = field(init=False)
-
-    def __post_init__(self):
+    def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        self.path = path
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
         pieces = [sp.id_to_piece(i) for i in range(n)]
+        self.scores = [sp.get_score(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = [b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+
+
+class Model(Pieces):
+    """Pieces and merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        n = len(self.scores)
         # by score, best first; the rank orders the agenda
-        order = sorted(self.ids.values(), key=lambda i: (-sp.get_score(i), i))
-        self.rank = np.full(n, NONE)
-        self.rank[order] = np.arange(len(order))
-        self.of_rank = np.array(order, np.int64)
-        pairs: dict[int, int] = {}
+        self.of_rank = sorted(self.ids.values(), key=lambda i: (-self.scores[i], i))
+        rank = {i: r for r, i in enumerate(self.of_rank)}
+        self.mixed = mix(np.arange(len(rank), dtype=np.uint64)).tolist()
+        self.ids_of_rank, self.mixed_ranks = np.array(self.of_rank, np.int64), np.array(self.mixed, np.uint64)
+        #: what stands for a character without a piece, and for a symbol that was merged away
+        self.lacking, self.gone, self.base = n, n + 1, n + 2
+        self.merges: dict[int, int] = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    pairs[a * n + b] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = self.rank[[pairs[k] for k in self.keys.tolist()]]
-        self.n = n
+                    self.merges[a * self.base + b] = rank[i]
+        # the same as an open hash table for arrays
+        self.bits = max(4, (4 * len(self.merges)).bit_length())
+        self.slots, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        values, at = np.fromiter(self.merges.values(), np.int64, len(keys)), self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.slots[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slots[at[put]], self.made[at[put]] = keys[put], values[put]
+            rest = np.delete(np.arange(len(keys)), put)
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of the piece that a and b make, or NONE; -1 stands for no piece."""
-        key = np.where((a < 0) | (b < 0), -1, a * self.n + b)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], NONE)
-
-
-_models: dict[str, Model] = {}
+        """The rank of the piece that a and b make, or NONE."""
+        key = (a * self.base + b).ravel()
+        at = self._slot(key)
+        found = self.slots[at]
+        out = np.where(found == key, self.made[at], NONE)
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.made[at[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out.reshape(a.shape)
+
+
+_models: dict[tuple, Pieces] = {}
+
+
+def load(path: str, kind: type = Model) -> Pieces:
+    """A worker keeps what it has loaded."""
+    if (path, kind) not in _models:
+        _models[path, kind] = kind(path)
+    return _models[path, kind]
+
+
+def cut(model: Model, unit: str, key: int, limit: int) -> list[int]:
+    """The ids of one occurrence of a unit of any length, by a heap."""
+    n, base, merges, of_rank, mixed = len(unit), model.base, model.merges, model.of_rank, model.mixed
+    get, lacking = model.ids.get, model.lacking
+    symbols = [get(c, lacking) for c in unit]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    agenda = [r << 32 | i for i, r in enumerate(map(merges.get, [a * base + b for a, b in zip(symbols, symbols[1:])])) if r is not None]
+    heapify(agenda)
+    while agenda:
+        best = heappop(agenda)
+        i, r = best & 0xFFFFFFFF, best >> 32
+        j = after[i]
+        if j >= n or merges.get(symbols[i] * base + symbols[j]) != r:
+            continue  # one of the two was merged otherwise
+        if limit:
+            h = (key + PHI * (i + 1) + mixed[r]) & MASK
+            h = ((h ^ (h >> 30)) * C1) & MASK
+            h = ((h ^ (h >> 27)) * C2) & MASK
+            if h ^ (h >> 31) < limit:
+                continue
+        symbols[i], symbols[j] = of_rank[r], model.gone
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            new = merges.get(symbols[i] * base + symbols[k])
+            if new is not None:
+                heappush(agenda, new << 32 | i)
+        k = before[i]
+        if k >= 0:
+            new = merges.get(symbols[k] * base + symbols[i])
+            if new is not None:
+                heappush(agenda, new << 32 | k)
+    out, i = [], 0
+    while i < n:
+        if symbols[i] != lacking:
+            out.append(symbols[i])
+        else:
+            out += in_bytes(model, unit[i])
+        i = after[i]
+    return out
 
 
-def load(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+def in_bytes(model: Model, character: str) -> list[int]:
+    """The pieces of a character that has none of its own."""
+    return [model.byte_ids[b] for b in character.replace(LITERAL, SPACE).encode()]
 
 
-def agenda(model: Model, symbols: np.ndarray, sizes: np.ndarray, row: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge rows of symbol ids (-1: no piece; padded with -1 beyond their sizes) as far as they go.
+def agenda(model: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of symbol ids, one an occurrence, merged as far as they go, padded with ``lacking`` beyond their sizes.
 
-    row, keys: the row and a 64-bit key of each occurrence. The merged rows, their sizes, the row that each
-    came from, and for each occurrence its merged row."""
-    limit = np.uint64(int(dropout * 2**64)) if dropout < 1 else np.uint64(2**64 - 1)
-    width = symbols.shape[1]
-    source = np.arange(len(symbols))
-    if width < 2 or not len(symbols):
-        return symbols, sizes, source, row
-    starts = np.broadcast_to(np.arange(width), symbols.shape)
-    best = model.merge(symbols[:, :-1], symbols[:, 1:])
-    done, out, n_done, occurrence = [], np.zeros(len(row), np.int64), 0, np.arange(len(row))
+    The merged rows, their sizes, and of each row the candidates by key, whether each was skipped, and their number."""
+    n, width = symbols.shape
+    rows, sizes, steps = symbols.copy(), sizes.copy(), np.zeros(n, np.int64)
+    candidates, skipped = np.zeros((n, 2 * width), np.uint64), np.zeros((n, 2 * width), bool)
+    if width < 2 or not n:
+        return rows, sizes, candidates, skipped, steps
+    live, cols = np.arange(n), np.arange(width, dtype=np.int16)
+    s, starts, best = rows, np.tile(np.arange(width, dtype=np.int16), (n, 1)), model.merge(rows[:, :-1], rows[:, 1:])
     while True:
         at = best.argmin(axis=1)
         got = best[np.arange(len(best)), at]
         ends = got == NONE
         if ends.any():
-            done.append((symbols[ends], sizes[ends], source[ends]))
-            ended = ends[row]
-            out[occurrence[ended]] = n_done + np.cumsum(ends)[row[ended]] - 1
-            n_done += int(ends.sum())
-            row, occurrence, keys = np.cumsum(~ends)[row[~ended]] - 1, occurrence[~ended], keys[~ended]
-            symbols, sizes, source, starts, best, at, got = (x[~ends] for x in (symbols, sizes, source, starts, best, at, got))
-        if not len(symbols):
-            return *(np.concatenate(x) for x in zip(*done)), out
-        i = np.arange(len(symbols))
-        merging, apart = i, i[:0]
-        if dropout > 0:
-            key = GOLDEN * (np.uint64(1) + starts[i, at].astype(np.uint64)) + mix(got.astype(np.uint64))
-            skips = mix(keys + key[row]) < limit
-            n_skips, n_all = np.bincount(row[skips], minlength=len(i)), np.bincount(row, minlength=len(i))
-            merging, none = np.flatnonzero(n_skips < n_all), np.flatnonzero(n_skips == n_all)
-            apart = np.flatnonzero((n_skips > 0) & (n_skips < n_all))
-            best[none, at[none]] = NONE
-            # those that skip what others of their row merge become a row of their own
-            to = i.copy()
-            to[apart] = len(i) + np.arange(len(apart))
-            row = np.where(skips, to[row], row)
-            rest = [x[apart] for x in (symbols, sizes, source, starts, best)]
-            rest[4][np.arange(len(apart)), at[apart]] = NONE
-        at, got = at[merging], got[merging]
-        cols = np.arange(width)
-        take = np.minimum(cols + (cols > at[:, None]), width - 1)
-        s, t = np.take_along_axis(symbols[merging], take, 1), np.take_along_axis(starts[merging], take, 1)
-        s[:, -1] = -1
-        i = np.arange(len(merging))
-        s[i, at] = model.of_rank[got]
-        cols = np.arange(width - 1)
-        b = np.take_along_axis(best[merging], np.minimum(cols + (cols > at[:, None]), width - 2), 1)
+            rows[live[ends]] = s[ends]
+            keep = ~ends
+            live, s, starts, best, at, got = (x[keep] for x in (live, s, starts, best, at, got))
+        if not len(live):
+            return rows, sizes, candidates, skipped, steps
+        i = np.arange(len(live))
+        if limit:
+            if steps[live].max() >= candidates.shape[1]:
+                candidates, skipped = np.pad(candidates, ((0, 0), (0, width))), np.pad(skipped, ((0, 0), (0, width)))
+            key = GOLDEN * (starts[i, at].astype(np.uint64) + np.uint64(1)) + model.mixed_ranks[got]
+            skip = mix(keys[live] + key) < np.uint64(limit)
+            candidates[live, steps[live]], skipped[live, steps[live]] = key, skip
+            steps[live] += 1
+            best[i[skip], at[skip]] = NONE
+            i, at, got = i[~skip], at[~skip], got[~skip]
+        take = cols + (cols > at[:, None])
+        take[:, -1] = width - 1
+        t = np.take_along_axis(s[i], take.astype(np.int64), 1)
+        t[:, -1] = model.lacking
+        place = np.arange(len(i))
+        t[place, at] = model.ids_of_rank[got]
+        starts[i] = np.take_along_axis(starts[i], take.astype(np.int64), 1)
+        b = np.take_along_axis(best[i], np.minimum(take[:, :-1], width - 2).astype(np.int64), 1)
         b[:, -1] = NONE
         for side in (-1, 0):  # only the pairs on either side of the new piece are new
             j = at + side
-            ok = (j >= 0) & (j < width - 1)
-            b[i[ok], j[ok]] = model.merge(s[i[ok], j[ok]], s[i[ok], j[ok] + 1])
-        if len(merging) == len(symbols):
-            symbols, starts, best, sizes = s, t, b, sizes - 1
-        else:
-            starts = starts.copy()
-            symbols[merging], starts[merging], best[merging] = s, t, b
-            sizes[merging] -= 1
-        if len(apart):
-            symbols, sizes, source, starts, best = (np.concatenate(x) for x in zip((symbols, sizes, source, starts, best), rest))
-
-
-def segment(model: Model, units: list[str], codes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segmentations end to end, the count of each, and the segmentation of each occurrence; codes, keys: its unit and a 64-bit key."""
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    widths = np.where(lengths <= WIDE, -(-lengths // 8) * 8, lengths)
-    used = np.bincount(codes, minlength=len(units)) > 0
-    pool, per, which, n_rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.zeros(len(codes), np.int64), 0
-    by_width = np.argsort(widths[codes], kind="stable")
-    bounds = np.searchsorted(widths[codes][by_width], np.unique(widths[used]))
-    place = np.zeros(len(units), np.int64)
-    for w, occurrences in zip(np.unique(widths[used]).tolist(), np.split(by_width, bounds[1:])):
-        own = np.flatnonzero((widths == w) & used)
-        place[own] = np.arange(len(own))
-        text = "".join(units[i] for i in own)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            ok = np.flatnonzero((j >= 0) & (j < width - 1))
+            b[ok, j[ok]] = model.merge(t[ok, j[ok]], t[ok, j[ok] + 1])
+        s = s if s is not rows else s.copy()
+        s[i], best[i] = t, b
+        sizes[live[i]] -= 1
+
+
+class Trees:
+    """The decisions that a worker has met, by unit. Nodes count from 1; a leaf is the negative of its number, which counts from 1 too."""
+
+    def __init__(self, model: Model, dropout: float, seed: int):
+        self.model, self.seed = model, seed
+        self.limit = int(dropout * 2**64) if dropout < 1 else MASK
+        self.met = np.zeros(1 << 24, bool)  # whether a unit of this hash was met before
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.candidate, self.branch, self.nodes = np.zeros(1 << 12, np.uint64), np.zeros(1 << 13, np.int32), 1
+        self.pool, self.ends, self.ids, self.leaves = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def _walk(self, at: np.ndarray, depth: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where occurrences at nodes ``at`` end: leaves, or 0 where they leave the tree; the branches there, and their depth."""
+        out, left, limit = at.copy(), np.zeros(len(at), np.int64), np.uint64(self.limit)
+        active = np.flatnonzero(at > 0)
+        now, own = at[active], keys[active]
+        while len(active):
+            place = 2 * now + (mix(own + self.candidate[now]) < limit)
+            now = self.branch[place].astype(np.int64)
+            out[active] = now
+            depth[active] += 1
+            fell = now == 0
+            left[active[fell]] = place[fell]
+            more = now > 0
+            active, now, own = active[more], now[more], own[more]
+        return out, left, depth
+
+    def _grow(self, units: list[str], codes: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Add a path for each occurrence from the branch ``left`` on (-1: a new root): the leaves."""
+        out = np.zeros(len(codes), np.int64)
+        lengths = np.fromiter((len(units[c]) for c in codes.tolist()), np.int64, len(codes))
+        widths = -(-lengths // 4) * 4
+        for w in np.unique(widths).tolist():
+            for own in np.array_split(np.flatnonzero(widths == w), max(1, int((widths == w).sum()) * w // 200_000)):
+                self._grow_width(w, [units[c] for c in codes[own].tolist()], lengths[own], keys[own], left[own], depth[own], own, out)
+        new = left < 0
+        self.roots.update(zip([units[c] for c in codes[new].tolist()], self.first[new].tolist()))
+        return out
+
+    def _grow_width(self, w: int, units: list[str], lengths: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray, own: np.ndarray, out: np.ndarray) -> None:
+        m = self.model
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
         distinct, inverse = np.unique(points, return_inverse=True)
-        ids = np.array([model.ids.get(chr(c), -1) for c in distinct], np.int64)
-        symbols = np.full((len(own), w), -1, np.int64)
-        symbols[np.arange(w) < lengths[own][:, None]] = ids[inverse]
-        done, left, source, row = agenda(model, symbols, lengths[own], place[codes[occurrences]], keys[occurrences], dropout)
-        inside = np.arange(w) < left[:, None]
-        lacking = ((done < 0) & inside).any(axis=1)
-        order = np.concatenate([np.flatnonzero(~lacking), np.flatnonzero(lacking)])
-        pool.append(done[~lacking][inside[~lacking]].astype(np.int32))
-        counts = left[order]
-        for i in np.flatnonzero(lacking).tolist():  # characters without a piece stand as bytes, in the order in which they come
-            strange = iter([c for c in units[own[source[i]]] if c not in model.ids])
-            flat: list[int] = []
-            for x in done[i, : left[i]].tolist():
-                if x >= 0:
-                    flat.append(x)
-                else:
-                    flat += [model.byte_ids[b] for b in next(strange).replace(LITERAL, SPACE).encode()]
-            pool.append(np.array(flat, np.int32))
-        counts[int((~lacking).sum()) :] = [len(x) for x in pool[len(pool) - int(lacking.sum()) :]]
-        per.append(counts)
-        at = np.empty(len(order), np.int64)
-        at[order] = n_rows + np.arange(len(order))
-        which[occurrences] = at[row]
-        n_rows += len(order)
-    return np.concatenate(pool), np.concatenate(per), which
-
-
-def hash_units(units: list[str], seed: int) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), np.uint64, len(units))
+        ids = np.array([m.ids.get(chr(c), m.lacking) for c in distinct], np.int64)
+        symbols = np.full((len(own), w), m.lacking, np.int64)
+        symbols[np.arange(w) < lengths[:, None]] = ids[inverse]
+        done, sizes, candidates, skipped, steps = agenda(m, symbols, lengths, keys, self.limit)
+        inside = np.arange(w) < sizes[:, None]
+        flat, counts = done[inside], sizes.copy()
+        lacking = ((done == m.lacking) & inside).any(axis=1)
+        if lacking.any():
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(lacking).tolist():  # in the order in which they come
+                strange = iter([c for c in units[i] if c not in m.ids])
+                parts[i] = np.array([y for x in parts[i].tolist() for y in ([x] if x != m.lacking else in_bytes(m, next(strange)))], np.int64)
+                counts[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        self.pool, self.ends = self._room(self.pool, self.ids + len(flat)), self._room(self.ends, self.leaves + len(own) + 1)
+        self.pool[self.ids : self.ids + len(flat)] = flat
+        self.ends[self.leaves + 1 : self.leaves + 1 + len(own)] = self.ids + np.cumsum(counts)
+        leaf = -(self.leaves + 1 + np.arange(len(own)))
+        self.ids, self.leaves = self.ids + len(flat), self.leaves + len(own)
+        # nodes for the candidates from each depth on, one after another; the last one's branch is the leaf
+        more = steps - depth
+        total = int(more.sum())
+        until = np.cumsum(more)
+        row = np.repeat(np.arange(len(own)), more)
+        step = np.arange(total) - np.repeat(until - more, more) + depth[row]
+        node = self.nodes + np.arange(total)
+        self.candidate, self.branch = self._room(self.candidate, self.nodes + total), self._room(self.branch, 2 * (self.nodes + total))
+        self.candidate[node] = candidates[row, step]
+        follows = np.append(node[1:], 0)
+        follows[until[more > 0] - 1] = leaf[more > 0]
+        self.branch[2 * node + skipped[row, step]] = follows
+        head = np.where(more > 0, self.nodes + until - more, leaf)
+        self.nodes += total
+        old = left >= 0
+        self.branch[left[old]] = head[old]
+        self.first[own] = head
+        out[own] = leaf
+
+    def segment(self, units: list[str], codes: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, ends of each segmentation, segmentation of each occurrence); units: distinct; codes: an occurrence's unit."""
+        import xxhash
+
+        if len(self.roots) > MAX_UNITS or self.nodes > MAX_NODES:
+            self.clear()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed) for u in units), np.uint64, len(units))
+        keys = hashes[codes] + doc_keys
+        times = np.bincount(codes, minlength=len(units))
+        slot = (hashes >> np.uint64(40)).astype(np.int64)
+        roots = np.fromiter((self.roots.get(u, 0) for u in units), np.int64, len(units))
+        long = np.fromiter(map(len, units), np.int64, len(units)) > LONG
+        once = (times == 1) & ~self.met[slot] & (roots == 0) & ~long
+        self.met[slot[times > 0]] = True
+        first = np.zeros(len(units), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        # units that were not met before; those met once keep no tree
+        out = np.zeros(len(codes), np.int64)
+        fresh = np.flatnonzero((roots == 0) & (times > 0) & ~long & ~once)
+        self.first = np.zeros(len(fresh), np.int64)
+        if len(fresh):
+            out[first[fresh]] = self._grow(units, fresh, keys[first[fresh]], np.full(len(fresh), -1), np.zeros(len(fresh), np.int64))
+            roots[fresh] = self.first
+        walking = np.flatnonzero(~(once | long)[codes])
+        at, depth = roots[codes[walking]], np.zeros(len(walking), np.int64)
+        while len(walking):
+            at, left, depth = self._walk(at, depth, keys[walking])
+            out[walking] = at
+            fell = np.flatnonzero(at == 0)
+            walking, left, depth = walking[fell], left[fell], depth[fell]
+            if len(fell):  # one occurrence extends each branch, the others go on from there
+                _, one = np.unique(left, return_index=True)
+                self.first = np.zeros(len(one), np.int64)
+                out[walking[one]] = self._grow(units, codes[walking[one]], keys[walking[one]], left[one], depth[one])
+                rest = np.ones(len(walking), bool)
+                rest[one] = False
+                walking, left, depth = walking[rest], left[rest], depth[rest]
+                at = self.branch[left].astype(np.int64)
+                out[walking] = at
+                walking, at, depth = walking[at > 0], at[at > 0], depth[at > 0]
+        kept = self.ids, self.leaves, self.nodes
+        single = np.flatnonzero(once)
+        if len(single):
+            self.first, roots_kept = np.zeros(len(single), np.int64), len(self.roots)
+            out[first[single]] = self._grow(units, single, keys[first[single]], np.full(len(single), -1), np.zeros(len(single), np.int64))
+            for _ in range(len(self.roots) - roots_kept):
+                self.roots.popitem()  # the latest
+        pool, ends = self.pool[: self.ids].copy(), self.ends[: self.leaves + 1].copy()
+        self.branch[2 * kept[2] : 2 * self.nodes] = 0
+        self.ids, self.leaves, self.nodes = kept
+        which = -out - 1
+        alone = np.flatnonzero(long[codes])
+        if len(alone):
+            more = [cut(self.model, units[c], key, self.limit) for c, key in zip(codes[alone].tolist(), keys[alone].tolist())]
+            which[alone] = len(ends) - 1 + np.arange(len(alone))
+            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in more])])
+            pool = np.concatenate([pool, *(np.array(x, np.int32) for x in more)])
+        return pool, ends, which
+
+
+_trees: dict[tuple, Trees] = {}
+
+
+def trees(model: Model, dropout: float, seed: int) -> Trees:
+    key = (model.path, dropout, seed)
+    if key not in _trees:
+        _trees.clear()  # a worker keeps one set
+        _trees[key] = Trees(model, dropout, seed)
+    return _trees[key]
 
 
 def encode_batch(model: Model, texts: pa.Array, doc_keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,27 +403,26 @@ def encode_batch(model: Model, texts: pa.Array, doc_keys: np.ndarray, dropout: f
     units = [w if w[:1] == "\n" else SPACE + w for w in coded.dictionary.to_pylist()]
     codes = coded.indices.to_numpy().astype(np.int64)
     if pc.any(odd).as_py():  # these are cut one by one
-        pieces, more = np.split(codes, bounds[1:-1]), {}
+        pieces, index = np.split(codes, bounds[1:-1]), {u: i for i, u in enumerate(units)}
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
             own = [u.replace(" ", SPACE) for u in UNIT.findall(" " + texts[i].as_py().replace(SPACE, LITERAL))]
-            pieces[i] = np.array([more.setdefault(u, len(units) + len(more)) for u in own], np.int64)
-        codes, units = np.concatenate(pieces), units + list(more)
+            pieces[i] = np.array([index.setdefault(u, len(index)) for u in own], np.int64)
+        codes, units = np.concatenate(pieces), list(index)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
     sizes = np.diff(bounds)
     place = (np.arange(len(codes)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64)
-    keys = hash_units(units, seed)[codes] + mix(np.repeat(doc_keys, sizes) + GOLDEN * (place + np.uint64(1)))
-    pool, per, at = segment(model, units, codes, keys, dropout)
-    starts, own = np.cumsum(per) - per, per[at]
-    ends = np.cumsum(own)
-    index = np.repeat(starts[at] - (ends - own), own) + np.arange(int(own.sum()))
-    counts = np.diff(np.concatenate([[0], ends])[bounds])
+    pool, ends, at = trees(model, dropout, seed).segment(units, codes, mix(np.repeat(doc_keys, sizes) + GOLDEN * (place + np.uint64(1))))
+    starts, own = ends[at], ends[at + 1] - ends[at]
+    until = np.cumsum(own)
+    index = np.repeat(starts - (until - own), own) + np.arange(int(own.sum()))
+    counts = np.diff(np.concatenate([[0], until])[bounds])
     out = pool[index]
     if empty.any():  # the empty text has no ids, not those of its leading space
         out, counts = out[np.repeat(~empty, counts)], np.where(empty, 0, counts)
     return out, counts
 
 
-def decode_ids(model: Model, ids: np.ndarray) -> bytes:
+def decode_ids(model: Pieces, ids: np.ndarray) -> bytes:
     """The text of one document's ids, in UTF-8."""
     return b"".join([model.bytes_of[i] for i in ids.tolist()])[1:]  # less the leading space
 
@@ -256,13 +435,9 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
 
         def compute(b: pa.RecordBatch) -> dict[str, pa.Array]:
             texts, keys = b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            parts = []
-            for i in range(0, b.num_rows, 1000):
-                own = texts.slice(i, 1000)
-                ids, counts = encode_batch(model, own, mix(keys[i : i + 1000].astype(np.int64).astype(np.uint64) + np.uint64(seed)), dropout, seed)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(own.is_null().to_numpy(zero_copy_only=False), False))
-                parts.append(pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
-            return {name: pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))}
+            ids, counts = encode_batch(model, texts, mix(keys.astype(np.int64).astype(np.uint64) + np.uint64(seed)), dropout, seed)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+            return {name: pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
 
         return compute
 
@@ -273,11 +448,11 @@ def decode(coded: DataFrame, model_path: str, ids: str = "pieces", name: str = "
     """The rows of ``coded`` with the text of their ids; null for null."""
 
     def make():
-        model = load(model_path)
+        model = load(model_path, Pieces)
 
         def compute(b: pa.RecordBatch) -> dict[str, pa.Array]:
             column = b.column(ids)
-            offsets = column.offsets.to_numpy()
+            offsets = column.offsets.to_numpy()  # of a slice: into all values
             flat = column.values.to_numpy(zero_copy_only=False)
             texts = [None if null else decode_ids(model, flat[s:e]).decode() for s, e, null in zip(offsets, offsets[1:], column.is_null().to_pylist())]
             return {name: pa.array(texts, pa.string())}

@@ -209,7 +209,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     files = max(1, -(-total // file_bytes))
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = hashed.repartitionByRange(int(files), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return common.materialise(ordered.mapInArrow(run, "file long, docs long, ids long"), "token-files")
+    return common.materialise(ordered.mapInArrow(common.frugal_batches(run), "file long, docs long, ids long"), "token-files")
 
 
 def _read_file(out_dir: str, index: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -257,4 +257,4 @@ def read_tokens(spark, out_dir: str, files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
 
     table = spark.createDataFrame(starts, "file long, base long").repartition(len(starts), "file")
-    return table.mapInArrow(run, schema)
+    return table.mapInArrow(common.frugal_batches(run), schema)

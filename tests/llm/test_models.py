@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import pitman_yor, quality, sentencepiece_bpe, toxicity
 from marlstone.llm.linear import Logistic, Sparse, best_threshold
@@ -130,38 +131,102 @@ def test_language_model(spark, bucket):
     assert pitman_yor.score(docs.limit(0)).count() == 0
 
 
-def test_states_are_distributions():
+def toy():
     rng = np.random.default_rng(2)
     words, contexts = 30, 20
     pairs = np.unique(rng.integers(0, words * contexts, 300))
-    c = rng.integers(1, 90, len(pairs))
-    bk = pitman_yor.Bucket(np.arange(words, dtype=np.uint64), pairs // contexts, np.arange(contexts, dtype=np.uint64), pairs % contexts, c, pairs * 0, pairs * 0, pairs * 0, [])
-    used = len(np.unique(bk.pair_word))
-    total = pitman_yor.Totals(int(c.sum()), used, len(pairs), (0.7, 0.6), {}, {})
-    types = np.bincount(bk.pair_context, minlength=contexts).astype(float)
-    for t, tw in pitman_yor.seat(bk, types, total, [1, 2]):
-        assert (t >= 1).all() and (t <= c).all()
-        customers = np.bincount(bk.pair_word, t, words)
-        assert (tw <= customers).all() and (tw[customers > 0] >= 1).all()
-        unknown = (1 + 0.6 * tw.sum()) / (used + 1) / (1 + t.sum())
-        p = np.where(customers > 0, (customers - 0.6 * tw) / (1 + t.sum()) + unknown, 0)
-        assert math.isclose(p.sum() + unknown, 1)
-        for u in range(contexts):
-            mine = bk.pair_context == u
-            q = (1 + 0.7 * t[mine].sum()) * p
-            q[bk.pair_word[mine]] += c[mine] - 0.7 * t[mine]
-            assert math.isclose((q.sum() + (1 + 0.7 * t[mine].sum()) * unknown) / (1 + c[mine].sum()), 1)
+    return words, contexts, pairs // contexts, pairs % contexts, rng.integers(1, 90, len(pairs))
+
+
+def test_states_are_distributions():
+    words, contexts, word, context, c = toy()
+    t = np.minimum(c, np.random.default_rng(1).integers(1, 5, len(c)))
+    customers, tables, count = np.bincount(word, t, words), np.bincount(context, t, contexts), np.bincount(context, c, contexts)
+    used = int((customers > 0).sum())
+    total = pitman_yor.Totals(int(c.sum()), used, 0.7, 0.6, int(t.sum()))
+    # every word after every context, and the unknown word, which stands last
+    w, u = np.divmod(np.arange((words + 1) * contexts), contexts)
+    full_c, full_t = np.zeros(len(w), int), np.zeros(len(w), int)
+    full_c[word * contexts + context], full_t[word * contexts + context] = c, t
+    known = np.append(customers > 0, False)
+    p = pitman_yor.predictive(full_c, full_t, w, u, known, np.append(customers, 0), count, tables, total)
+    p[(w < words) & ~known[w]] = 0  # these are the unknown word
+    assert np.allclose(np.bincount(u, p), 1)
 
 
 def test_tables_follow_their_distribution():
-    """The sampled mean number of tables against the exact one, by enumeration."""
-    d, theta, others, p = 0.6, 1.0, 5.0, 0.2
+    """Sampled numbers of tables against the exact conditional, and its limit law at the end of the tabulated range."""
+    d, rng = 0.6, np.random.default_rng(0)
     s = pitman_yor.log_stirling(d)
     assert math.isclose(math.exp(s[3, 2]), 3 * (1 - d)) and math.isclose(math.exp(s[3, 1]), (1 - d) * (2 - d))
-    t = np.arange(1, 7)
-    w = np.exp(s[6, 1:7] + np.cumsum(np.log((theta + d * (others + t - 1)) * p)))
-    got = pitman_yor.sample_tables(np.full(40_000, 6), np.full(40_000, p), np.full(40_000, others), d, theta, np.random.default_rng(0))
-    assert abs(got.mean() - (t * w).sum() / w.sum()) < 0.02
+    for a in (0.05, 1.0, 30.0):
+        t = np.arange(1, 7)
+        w = np.exp(s[6, 1:7]) * a**t
+        got = pitman_yor.sample_tables(np.full(40_000, 6), np.full(40_000, a), d, s, rng)
+        assert abs(got.mean() - (t * w).sum() / w.sum()) < 0.03
+    n = pitman_yor.STIRLING
+    for a in (0.5, 5.0, 100.0, 2000.0):
+        t = np.arange(1, n + 1)
+        w = s[n, 1:] + t * math.log(a)
+        w = np.exp(w - w.max())
+        w /= w.sum()
+        mean, variance = (t * w).sum(), (t * t * w).sum() - (t * w).sum() ** 2
+        m, v = pitman_yor.limit_law(np.array([float(n)]), np.array([a]), d)
+        assert abs(m[0] + 1 - mean) < 0.02 * mean and abs(v[0] - variance) < 0.02 * variance + 0.1
+        got = pitman_yor.sample_tables(np.full(20_000, n + 1), np.full(20_000, a), d, s, rng)
+        assert abs(got.mean() - mean) < 0.03 * mean and abs(got.var() - variance) < 0.1 * variance + 0.1
+
+
+def test_gammas():
+    keys = np.arange(200_000, dtype=np.uint64)
+    for shape in (0.3, 1.5, 40.0):
+        x = pitman_yor.gamma(np.full(len(keys), shape), keys, 3)
+        assert abs(x.mean() / shape - 1) < 0.02 and abs(x.var() / shape - 1) < 0.04
+    assert (pitman_yor.gamma(np.full(3, 2.0), keys[5:8], 9) == pitman_yor.gamma(np.full(50, 2.0), keys[:50], 9)[5:8]).all()
+
+
+def plain_gibbs(word, context, c, words, contexts, d1, d0, sweeps, rng):
+    """Customer by customer: each leaves its table and sits down anew. Mean tables of the contexts, mean customers of the words in the parent."""
+    seats = [[[int(n)] for n in [x]][0] for x in c]  # the sizes of each pair's tables
+    tables, customers = np.bincount(context, minlength=contexts), np.bincount(word, minlength=words)
+    sums = [np.zeros(contexts), np.zeros(words)]
+    for k in range(sweeps):
+        for i, (w, u) in enumerate(zip(word, context)):
+            for _ in range(c[i]):
+                own = seats[i]
+                left = rng.choices(range(len(own)), own)[0]
+                own[left] -= 1
+                if not own[left]:
+                    own.pop(left)
+                    tables[u], customers[w] = tables[u] - 1, customers[w] - 1
+                new = (1 + d1 * tables[u]) * (customers[w] - d0) / (1 + customers.sum()) if customers[w] else 1.0
+                at = rng.choices(range(len(own) + 1), [*(n - d1 for n in own), new])[0]
+                if at == len(own):
+                    own.append(1)
+                    tables[u], customers[w] = tables[u] + 1, customers[w] + 1
+                else:
+                    own[at] += 1
+        if k >= sweeps // 10:
+            sums[0] += tables
+            sums[1] += customers
+    return [x / (sweeps - sweeps // 10) for x in sums]
+
+
+def test_sweeps_against_plain_gibbs():
+    word, context, c = np.array([0, 1, 2, 0, 1, 3, 0, 2]), np.array([0, 0, 0, 1, 1, 1, 2, 2]), np.array([5, 2, 1, 8, 3, 1, 2, 4])
+    d1, d0 = 0.6, 0.4
+    want = plain_gibbs(word, context, c, 4, 3, d1, d0, 4000, random.Random(0))
+    ids, stirling = np.arange(2, 6), pitman_yor.log_stirling(d1)
+    t, sums = np.ones(len(c), int), [np.zeros(3), np.zeros(4)]
+    for k in range(6000):
+        tables, customers = np.bincount(context, t, 3), np.bincount(word, t, 4)
+        total = pitman_yor.Totals(int(c.sum()), 4, d1, d0, int(t.sum()), pitman_yor.gamma_sum(ids, customers, d0, k) * pitman_yor.GAMMA_UNIT)
+        t = pitman_yor.draw(c, word, context, ids, np.arange(3), tables, customers, total, k, np.random.default_rng(k), stirling)
+        if k >= 600:
+            sums[0] += np.bincount(context, t, 3)
+            sums[1] += np.bincount(word, t, 4)
+    for x, y in zip(sums, want):
+        assert np.abs(x / 5400 / y - 1).max() < 0.05, (x / 5400, y)
 
 
 def test_sentencepiece(spark):
@@ -202,11 +267,52 @@ def test_sentencepiece_every_occurrence_is_cut_on_its_own(spark):
             ways.add(tuple(cut))
             cut, left = [], b""
     assert not cut and len(ways) > 20
-    # occurrences that are pooled while they agree are cut as each is alone
-    units, codes = [sentencepiece_bpe.SPACE + w for w in (one, many, "中▁", "played")], np.arange(2000) % 4
-    keys = np.random.default_rng(0).integers(0, 2**63, 2000).astype(np.uint64)
-    pool, per, at = sentencepiece_bpe.segment(model, units, codes, keys, 0.3)
-    ends = np.cumsum(per)
-    for i in range(0, 2000, 13):
-        alone = sentencepiece_bpe.segment(model, units, codes[i : i + 1], keys[i : i + 1], 0.3)[0]
-        assert alone.tolist() == pool[ends[at[i]] - per[at[i]] : ends[at[i]]].tolist()
+
+
+def plain_agenda(model, unit, key, limit):
+    """Merge-dropout as its definition says it: look at all pairs for the best candidate, again and again."""
+    symbols, skipped = [(i, c) for i, c in enumerate(unit)], set()
+    while True:
+        found = []
+        for x, (a, b) in enumerate(zip(symbols, symbols[1:])):
+            made = a[1] + b[1]
+            if made in model.ids and a[1] in model.ids and b[1] in model.ids and (a[0], made) not in skipped:
+                found.append((-model.scores[model.ids[made]], model.ids[made], a[0], x, made))
+        if not found:
+            break
+        _, _, start, x, made = min(found)
+        mixed = key + sentencepiece_bpe.PHI * (start + 1) + sentencepiece_bpe.mix(np.array([model.of_rank.index(model.ids[made])], np.uint64))[0].item()
+        if sentencepiece_bpe.mix(np.array([mixed % 2**64], np.uint64))[0] < limit:
+            skipped.add((start, made))
+        else:
+            symbols[x : x + 2] = [(start, made)]
+    return [i for _, s in symbols for i in ([model.ids[s]] if s in model.ids else [model.byte_ids[b] for b in s.replace(sentencepiece_bpe.LITERAL, "\u2581").encode()])]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_sentencepiece_against_plain_agenda(monkeypatch, dropout):
+    P = pytest.importorskip("public_tokenizers")
+    import xxhash
+
+    model = sentencepiece_bpe.load(P.path("piece_bpe_32k.model"))
+    words = ["a", "understanding", "played", "中" + sentencepiece_bpe.LITERAL, "internationalisation", "🙂x", "ab" * 25, "\nline"]
+    units = [w if w[0] == "\n" else sentencepiece_bpe.SPACE + w for w in words]
+    trees = sentencepiece_bpe.Trees(model, dropout, 3)
+    rng = np.random.default_rng(0)
+    for size in (3, 300, 300):  # the trees grow, and are dropped once
+        codes, docs = rng.integers(0, len(units), size), rng.integers(0, 2**63, size).astype(np.uint64)
+        pool, ends, at = trees.segment(units, codes, docs)
+        for i in range(0, size, 2):
+            key = (xxhash.xxh64_intdigest(units[codes[i]].encode("utf-8", "surrogatepass"), 3) + int(docs[i])) % 2**64
+            assert pool[ends[at[i]] : ends[at[i] + 1]].tolist() == plain_agenda(model, units[codes[i]], key, trees.limit)
+        monkeypatch.setattr(sentencepiece_bpe, "MAX_NODES", 400)
+
+
+def test_sentencepiece_very_long(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    texts = ["wordwithoutspaces" * 60_000, "many short words " * 60_000, "\n" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pieces", F.lit("given")).withColumn("Decoded", F.lit(1))
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, path), path)
+    assert both.columns == ["doc_id", "text", "pieces", "decoded"]  # the clashing columns gave way
+    assert {r.doc_id: r.decoded for r in both.collect()} == dict(enumerate(texts))

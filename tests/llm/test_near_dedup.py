@@ -11,7 +11,7 @@ import pytest
 from marlstone.llm import near_dedup as nd
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-DOCS = "doc_id long, text string, node string, n_chars long"
+DOCS = "doc_id long, text string, __node string, n long"  # the last two clash with inner names
 
 
 def words(t):
@@ -118,7 +118,8 @@ def test_classes(spark):
 
 def test_a_family_without_a_centre_loses_nothing(spark, monkeypatch):
     """Chains of edits, where only neighbours are similar, and a family of copies that mostly are not."""
-    monkeypatch.setattr(nd, "HUBS", 1)
+    monkeypatch.setattr(nd, "ROUNDS", 1)
+    monkeypatch.setattr(nd, "DEALT", 3)
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(5000)]
     t = [rng.choice(vocab) for _ in range(150)]
@@ -144,6 +145,26 @@ def test_odd_rows(spark):
     assert nd.keep_one(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_and_very_long_texts(spark):
+    rng = random.Random(1)
+    vocab = [f"v{i}" for i in range(3000)]
+    long = [rng.choice(vocab) for _ in range(60_000)]
+    near = [*long[:20_000], "edit", *long[20_001:]]
+    texts = [" ".join(long), " ".join(near), "x" * 500_000, " ".join(reversed(long))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", *(f"1 AS {c}" for c in ("node", "comp", "id", "kept", "n", "doc", "bits", "keys", "bucket")))
+    kept = nd.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 2, 3}
+
+
+def test_bitmap_bounds_the_alignment():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)
+        b = np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64)])
+        alone = sum(int(x).bit_count() for x in (nd.bitmap(a) & ~nd.bitmap(b)).view(np.uint64))
+        assert nd.aligned(a, b, 1000) <= len(a) - alone
+
+
 def test_keep_one_of_each_component(spark):
     shared = [(7, "first text of its own", "x", 1), (7, "quite another one here", "x", 1)]
     single = [(None, "a text without an id", "x", 1)]
