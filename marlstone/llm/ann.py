@@ -193,7 +193,7 @@ def probes(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> int:
                 kept = row[best], found[best], own[best], score[best]
         yield pa.RecordBatch.from_pydict(dict(zip(("query", "vec_id", "list", "score"), map(pa.array, kept))))
 
-    near = coded.select("vec_id", "list", "v").mapInArrow(common.frugal_batches(brute), "query long, vec_id long, list long, score double")
+    near = common.map_arrow(coded.select("vec_id", "list", "v"), brute, "query long, vec_id long, list long, score double")
     true = near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") <= k)
     rows = true.select("query", "list").collect()  # at most ASKED times k
     if not rows:
@@ -221,7 +221,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "list": pa.array(own.astype(np.int32)), "v": b.column(1)})
 
     kind = rows.schema["v"].dataType.simpleString()
-    coded = common.materialise(rows.mapInArrow(common.frugal_batches(assign), f"vec_id long, list int, v {kind}"), "lists")
+    coded = common.materialise(common.map_arrow(rows, assign, f"vec_id long, list int, v {kind}"), "lists")
     if len(index.centres) > 1:
         index.probes = probes(index, coded, coded.where(is_query), k)
     sizes = np.zeros(len(index.centres), np.int64)
@@ -254,7 +254,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 for c in wanted:
                     yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), *one], ["chunk", "q_ids", "q", "floors"])
 
-    asked = coded.where(is_query).select("vec_id", "v").mapInArrow(common.frugal_batches(blocks), "chunk long, q_ids array<long>, q array<double>, floors array<double>")
+    asked = common.map_arrow(coded.where(is_query).select("vec_id", "v"), blocks, "chunk long, q_ids array<long>, q array<double>, floors array<double>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = full.value
@@ -271,6 +271,6 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     row, found, score = best_of(ix, q_ids[i : i + PART], part, floors[i : i + PART], ix.looked(part), ids, own, x, k)
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[i + row]), "vec_id": pa.array(found), "score": pa.array(score)})
 
-    found = asked.join(chunks, "chunk").select("ids", "lists", "x", "q_ids", "q", "floors").mapInArrow(common.frugal_batches(scan), "query_id long, vec_id long, score double")
+    found = common.map_arrow(asked.join(chunks, "chunk").select("ids", "lists", "x", "q_ids", "q", "floors"), scan, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,6 +80,11 @@ def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.orderBy(h, key).limit(bound)
 
 
+def bytes_small_enough(df: DataFrame, limit_bytes: int, size: Column) -> bool:
+    """Whether a written table is proven to fit a broadcast: ``size``, the bytes of each row, is summed before."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit_bytes
+
+
 def small_enough(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:
     """Whether a table is proven to fit a broadcast: its rows are counted, up to the bound, before."""
     bound = limit_bytes // row_bytes
@@ -86,19 +98,32 @@ def frugal() -> None:
     their own, and the Arrow pool keeps what was freed, so a worker stays as large as its largest moment."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # of the GNU library; elsewhere nothing is changed
-        for option, value in ((-3, 1 << 19), (-1, 1 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
             libc.mallopt(option, value)
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-def frugal_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: ``run`` in a frugal worker."""
+def give_back() -> None:
+    """Return the free pages between what is still in use."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+#: Arrow batches between Spark and Python workers hold about this much, so that long texts do not make them large.
+BATCH_BYTES = 2 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in frugal workers, on batches bounded in bytes: the session's bound is lowered to BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def frugally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         yield from run(batches)
+        give_back()
 
-    return frugally
+    return df.mapInArrow(frugally, schema)
 
 
 def frugal_group(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -106,6 +131,8 @@ def frugal_group(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.Da
 
     def frugally(group: pd.DataFrame) -> pd.DataFrame:
         frugal()
-        return run(group)
+        out = run(group)
+        give_back()
+        return out
 
     return frugally

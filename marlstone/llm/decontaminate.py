@@ -85,37 +85,47 @@ def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
     return out.groupBy("length", "fp", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _same(a: str, b: str) -> str:
+    return f"{a}.doc_id <=> {b}.doc_id and {a}.text_hash = {b}.text_hash"
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
     """Two tables keyed by (doc_id, text_hash): n_words of every document row; and of each distinct
     (doc_id, text) with a hit n_hit, items (array of ids) and spans (array of [start, end) in words)."""
     wins = common.materialise(item_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in wins.select("length").distinct().collect())  # at most ``window`` numbers
-    near = F.broadcast if common.small_enough(wins, BROADCAST_BYTES, 400) else (lambda x: x)
+    item_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24)
+    near = F.broadcast if common.bytes_small_enough(wins, BROADCAST_BYTES, F.octet_length("window") + item_bytes + 64) else (lambda x: x)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     # 1. winnow all documents once; find those that share any fingerprint
     prints = [_fingerprints(n, distinct=True) for n in lengths] or [F.array().cast("array<bigint>")]
     own = common.materialise(_hashed(keyed).select("doc_id", "text_hash", "n_words", F.concat(*prints).alias("fps")), "winnowed")
     grams = own.select("doc_id", "text_hash", F.explode("fps").alias("fp"))
-    shared = grams.join(near(wins.select("fp").distinct()), "fp", "left_semi").select("doc_id", "text_hash").distinct()
-
-    # 2. extension, only there: the window around each matching minimum is compared whole
-    there = keyed.alias("d").join(shared.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left_semi")
-    there = _hashed(there).select("doc_id", "text_hash", "words", "n_words", "hashes")
-    parts = [there.select("doc_id", "text_hash", "words", F.lit(n).alias("length"), F.posexplode(_fingerprints(n, distinct=False)).alias("pos", "fp")) for n in lengths]
-    hits = None
-    for p in parts or [there.select("doc_id", "text_hash", "words", F.lit(0).alias("length"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fp")).where(F.lit(False))]:
-        found = p.join(near(wins), ["length", "fp"]).where(F.array_join(F.slice("words", F.col("pos") + 1, F.greatest("length", F.lit(1))), " ") == F.col("window"))
-        found = found.select("doc_id", "text_hash", "length", "pos", "items")
-        hits = found if hits is None else hits.unionByName(found)
-    # a repeated row adds nothing new to these sets
-    per = hits.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end")))).alias("spans"),
-        F.collect_set("items").alias("sets"),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-    per = per.select("doc_id", "text_hash", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("sets"))).alias("items"), "spans")
-    return own.select("doc_id", "text_hash", "n_words"), per
+    shared = common.materialise(grams.join(near(wins.select("fp").distinct()), "fp", "left_semi").select("doc_id", "text_hash").distinct(), "shared")
+    few = F.broadcast if common.small_enough(shared, BROADCAST_BYTES, 64) else (lambda x: x)
+
+    # 2. extension, only there: the windows around matching minima are compared whole, in the document's own words.
+    # While those documents are few, the texts of others are not moved
+    there = common.materialise(keyed.alias("d").join(few(shared).alias("s"), F.expr(_same("d", "s")), "left_semi"), "there")
+    there = _hashed(there.dropDuplicates(["doc_id", "text_hash"])).select("doc_id", "text_hash", "words", "n_words", "hashes")
+    parts = [there.select("doc_id", "text_hash", F.lit(n).alias("length"), F.posexplode(_fingerprints(n, distinct=False)).alias("pos", "fp")) for n in lengths]
+    found = parts[0] if parts else there.select("doc_id", "text_hash", F.lit(0).alias("length"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fp")).where(F.lit(False))
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    near_hits = found.join(near(wins), ["length", "fp"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "length", "window", "items")).alias("near"))
+    equal = F.filter("near", lambda x: F.array_join(F.slice("words", x["pos"] + 1, x["length"]), " ") == x["window"])
+    per = there.alias("t").join(near_hits.alias("n"), F.expr(_same("t", "n"))).select("t.doc_id", "t.text_hash", equal.alias("hits")).where(F.size("hits") > 0)
+    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["pos"].alias("start"), (x["pos"] + x["length"]).alias("end")))))
+    per = per.select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten("hits.items"))).alias("items"), spans.alias("spans"))
+    return own.select("doc_id", "text_hash", "n_words"), common.materialise(per.select("doc_id", "text_hash", covered(F.col("spans")).alias("n_hit"), "items", "spans"), "hits")
+
+
+def covered(spans: Column) -> Column:
+    """How many places sorted spans cover together."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("until"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["until"]))).alias("n"), F.greatest(s["until"], x["end"]).alias("until"))
+    return F.aggregate(spans, start, step)["n"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -135,5 +145,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit, columns unchanged."""
     _, hits = find_hits(docs, benchmark, window)
-    keys = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(keys, F.expr("doc_id <=> __id and xxhash64(text) = __hash"), "left_anti")
+    keys = hits.select("doc_id", "text_hash")
+    keys = F.broadcast(keys) if common.small_enough(keys, BROADCAST_BYTES, 64) else keys
+    # the document goes as one value, so that none of its columns can clash
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    return whole.alias("d").join(keys.alias("k"), F.expr(_same("d", "k")), "left_anti").select("doc.*")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -58,10 +60,49 @@ def terms(text: str | None) -> set[str]:
     return words | {w[:i] + "-" for w in words for i in PREFIXES if len(w) > i}
 
 
+def choose_terms(sample: DataFrame, categories: list[str], folds: int, most: int, min_docs: int = 5) -> list[list[str]]:
+    """The terms of the largest log-odds, either way, for any category: for each fold those chosen without it, and last those of all.
+
+    sample: text, fold (from 0), and a column of 0 or 1 for each category."""
+    n_folds = max(1, folds)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.frugal()
+        seen: list[list[Counter]] = [[Counter() for _ in range(n_folds)] for _ in range(1 + len(categories))]
+        for b in batches:
+            for text, fold, *ys in zip(b["text"], b["fold"], *(b[c] for c in categories)):
+                found = terms(text)
+                for own, y in zip(seen, [1, *ys]):
+                    if y:
+                        own[fold].update(found)
+        every = list(set().union(*seen[0]))
+        yield pd.DataFrame({"term": every} | {f"{'n' if i == 0 else f'y{i - 1}_'}{f}": [own[f][t] for t in every] for i, own in enumerate(seen) for f in range(n_folds)})
+
+    names = [*(f"n{f}" for f in range(n_folds)), *(f"y{i}_{f}" for i in range(len(categories)) for f in range(n_folds))]
+    if sample.isEmpty():
+        return [[] for _ in range(folds + 1)]
+    counts = sample.select("text", "fold", *categories).mapInPandas(count, "term string, " + ", ".join(f"{x} long" for x in names))
+    sums = counts.groupBy("term").agg(*(F.sum(x).alias(x) for x in names)).where(sum((F.col(f"n{f}") for f in range(n_folds)), F.lit(0)) >= min_docs)
+    sums = common.materialise(sums, "terms")
+    totals = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories)).collect()}
+    out = []
+    for left in [*range(folds), None]:
+        own = [f for f in range(n_folds) if f != left]
+        n, n_all = sum((F.col(f"n{f}") for f in own), F.lit(0)), sum(totals[f]["n"] for f in own if f in totals)
+        picked: dict[str, None] = {}
+        for i, c in enumerate(categories):
+            y, y_all = sum((F.col(f"y{i}_{f}") for f in own), F.lit(0)), sum(totals[f][c] for f in own if f in totals)
+            odds = F.abs(F.log((y + 0.5) / F.lit(y_all + 1.0)) - F.log((n - y + 0.5) / F.lit(n_all - y_all + 1.0)))
+            best = sums.where(n >= min_docs).orderBy(F.desc(odds * F.sqrt(F.least(n, F.lit(50)))), "term").limit(most // len(categories))
+            picked |= dict.fromkeys(r[0] for r in best.select("term").collect())  # at most ``most`` terms
+        out.append(list(picked))
+    return out
+
+
 class TermIndex:
     """Indices of the chosen terms that a text has; words seen before are not taken apart again."""
 
-    KEEP = 300_000
+    KEEP = 100_000
 
     def __init__(self, chosen: list[str]):
         self.index = {t: i for i, t in enumerate(chosen)}
@@ -114,7 +155,7 @@ def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], di
                 new = compute(b)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new.values()], names=[*(b.schema.names[i] for i in kept), *new])
 
-    return df.mapInArrow(common.frugal_batches(run), schema)
+    return common.map_arrow(df, run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, names: dict[str, str], bound: int) -> DataFrame:

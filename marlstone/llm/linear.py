@@ -21,6 +21,13 @@ class Sparse:
     def t_dot(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.col, r[self.row], self.n)
 
+    def only(self, columns: np.ndarray) -> Sparse:
+        """Without the entries of other columns; the columns keep their numbers."""
+        keep = columns[self.col]
+        out = Sparse([], self.n)
+        out.row, out.col, out.n_rows = self.row[keep], self.col[keep], self.n_rows
+        return out
+
     def take(self, index: np.ndarray) -> Sparse:
         new = np.full(self.n_rows, -1)
         new[index] = np.arange(len(index))

@@ -199,7 +199,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes, bits, keys = [len(x) for _, x in found], [bitmap(x) for _, x in found], [bucket_keys(x) for _, x in found]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in found], pa.binary()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    found = docs.select(digest("text").alias("node"), "text").mapInArrow(common.frugal_batches(run), "node binary, n long, bits array<long>, keys array<long>")
+    found = common.map_arrow(docs.select(digest("text").alias("node"), "text"), run, "node binary, n long, bits array<long>, keys array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -246,7 +246,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep = [similarity(p, q) >= THRESHOLD for p, q in zip(shingles(x.column(2)), shingles(x.column(3)))]
                 yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(common.frugal_batches(run), "a binary, b binary")
+    return common.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def unique_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
     texts = _texts(docs, wanted)
-    rows = texts.mapInArrow(common.frugal_batches(run), "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
+    rows = common.map_arrow(texts, run, "node binary, shingles array<long>").select("node", F.explode("shingles").alias("s"))
     alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("q"))
 

@@ -549,7 +549,7 @@ def score(docs: DataFrame, seed: int = 1, bucket_bytes: int | None = None, burn:
     parts = max(1, buckets // PER_PART)
     out_dir = common.scratch_path(spark, "pitman-yor")
 
-    asked = docs.mapInArrow(common.frugal_batches(slices(out_dir, parts)), MOVED)
+    asked = common.map_arrow(docs, slices(out_dir, parts), MOVED)
     numbered = common.materialise(_grouped(asked, "part", parts).applyInPandas(common.frugal_group(number), MOVED), "numbers")
     n, vocabulary, _, _ = _sums(numbered)
     total = Totals(n, vocabulary)

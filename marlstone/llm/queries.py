@@ -62,7 +62,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     """Per document the count and checksum of its ids, and whether they decode to the text itself."""
     model = model or public_tokenizer("piece_bpe_32k.model")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model)
+    both = sentencepiece_bpe.round_trip(docs, model)
     crc = F.crc32(F.array_join(F.col("pieces"), ","))
     return both.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), crc.alias("pieces_crc32"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
@@ -88,7 +88,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    own = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, s AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r) CROSS JOIN (SELECT :said AS s)", {"said": said})
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
     chosen = chat.best_paths(chat.chains(given.unionByName(own)))
     formatted = common.materialise(chat.format_paths(chosen), "conversations")
     read = chat.read_back(formatted)

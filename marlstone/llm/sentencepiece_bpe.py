@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ ODD = r"  | \n|\A[ \n]|[ ]\z"
 #: Longer units have no tree; neither have those that a worker meets once.
 LONG = 40
 #: A worker's trees are dropped when they grow beyond these.
-MAX_UNITS, MAX_NODES = 200_000, 2_000_000
+MAX_UNITS, MAX_NODES = 150_000, 1_200_000
 MASK = (1 << 64) - 1
 C1, C2, PHI = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 GOLDEN = np.uint64(PHI)
@@ -243,7 +244,8 @@ class Trees:
         self.clear()
 
     def clear(self) -> None:
-        self.roots: dict[str, int] = {}
+        self.units: dict[str, int] = {}
+        self.root, self.hash = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
         self.candidate, self.branch, self.nodes = np.zeros(1 << 12, np.uint64), np.zeros(1 << 13, np.int32), 1
         self.pool, self.ends, self.ids, self.leaves = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
 
@@ -267,46 +269,49 @@ class Trees:
             active, now, own = active[more], now[more], own[more]
         return out, left, depth
 
-    def _grow(self, units: list[str], codes: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """Add a path for each occurrence from the branch ``left`` on (-1: a new root): the leaves."""
-        out = np.zeros(len(codes), np.int64)
-        lengths = np.fromiter((len(units[c]) for c in codes.tolist()), np.int64, len(codes))
-        widths = -(-lengths // 4) * 4
-        for w in np.unique(widths).tolist():
-            for own in np.array_split(np.flatnonzero(widths == w), max(1, int((widths == w).sum()) * w // 200_000)):
-                self._grow_width(w, [units[c] for c in codes[own].tolist()], lengths[own], keys[own], left[own], depth[own], own, out)
-        new = left < 0
-        self.roots.update(zip([units[c] for c in codes[new].tolist()], self.first[new].tolist()))
-        return out
-
-    def _grow_width(self, w: int, units: list[str], lengths: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray, own: np.ndarray, out: np.ndarray) -> None:
+    def _grow(self, units: list[str], lengths: np.ndarray, codes: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add a path for each occurrence from the branch ``left`` on (-1: a new root): the leaves, and where the paths begin."""
+        leaves, heads = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        widths = -(-lengths[codes] // 4) * 4
+        by_width = np.argsort(widths, kind="stable")
+        for same in np.split(by_width, np.flatnonzero(np.diff(widths[by_width])) + 1) if len(codes) else ():
+            w = int(widths[same[0]])
+            for i in range(0, len(same), max(1, 100_000 // w)):
+                own = same[i : i + max(1, 100_000 // w)]
+                leaves[own], heads[own] = self._grow_width(w, [units[c] for c in codes[own].tolist()], lengths[codes[own]], keys[own], left[own], depth[own])
+        return leaves, heads
+
+    def _grow_width(self, w: int, units: list[str], lengths: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = self.model
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
         distinct, inverse = np.unique(points, return_inverse=True)
         ids = np.array([m.ids.get(chr(c), m.lacking) for c in distinct], np.int64)
-        symbols = np.full((len(own), w), m.lacking, np.int64)
+        symbols = np.full((len(keys), w), m.lacking, np.int64)
         symbols[np.arange(w) < lengths[:, None]] = ids[inverse]
         done, sizes, candidates, skipped, steps = agenda(m, symbols, lengths, keys, self.limit)
         inside = np.arange(w) < sizes[:, None]
         flat, counts = done[inside], sizes.copy()
         lacking = ((done == m.lacking) & inside).any(axis=1)
         if lacking.any():
-            parts = np.split(flat, np.cumsum(sizes)[:-1])
-            for i in np.flatnonzero(lacking).tolist():  # in the order in which they come
+            which, own = np.flatnonzero(lacking), []
+            for i in which.tolist():  # in the order in which they come
                 strange = iter([c for c in units[i] if c not in m.ids])
-                parts[i] = np.array([y for x in parts[i].tolist() for y in ([x] if x != m.lacking else in_bytes(m, next(strange)))], np.int64)
-                counts[i] = len(parts[i])
-            flat = np.concatenate(parts)
-        self.pool, self.ends = self._room(self.pool, self.ids + len(flat)), self._room(self.ends, self.leaves + len(own) + 1)
+                own.append(np.array([y for x in done[i, : sizes[i]].tolist() for y in ([x] if x != m.lacking else in_bytes(m, next(strange)))], np.int64))
+            plain = flat[np.repeat(~lacking, sizes)]
+            counts[which] = [len(x) for x in own]
+            at = np.repeat(lacking, counts)
+            flat = np.empty(len(at), np.int64)
+            flat[at], flat[~at] = np.concatenate(own), plain
+        self.pool, self.ends = self._room(self.pool, self.ids + len(flat)), self._room(self.ends, self.leaves + len(keys) + 1)
         self.pool[self.ids : self.ids + len(flat)] = flat
-        self.ends[self.leaves + 1 : self.leaves + 1 + len(own)] = self.ids + np.cumsum(counts)
-        leaf = -(self.leaves + 1 + np.arange(len(own)))
-        self.ids, self.leaves = self.ids + len(flat), self.leaves + len(own)
+        self.ends[self.leaves + 1 : self.leaves + 1 + len(keys)] = self.ids + np.cumsum(counts)
+        leaf = -(self.leaves + 1 + np.arange(len(keys)))
+        self.ids, self.leaves = self.ids + len(flat), self.leaves + len(keys)
         # nodes for the candidates from each depth on, one after another; the last one's branch is the leaf
         more = steps - depth
         total = int(more.sum())
         until = np.cumsum(more)
-        row = np.repeat(np.arange(len(own)), more)
+        row = np.repeat(np.arange(len(keys)), more)
         step = np.arange(total) - np.repeat(until - more, more) + depth[row]
         node = self.nodes + np.arange(total)
         self.candidate, self.branch = self._room(self.candidate, self.nodes + total), self._room(self.branch, 2 * (self.nodes + total))
@@ -318,32 +323,35 @@ class Trees:
         self.nodes += total
         old = left >= 0
         self.branch[left[old]] = head[old]
-        self.first[own] = head
-        out[own] = leaf
+        return leaf, head
 
     def segment(self, units: list[str], codes: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids end to end, ends of each segmentation, segmentation of each occurrence); units: distinct; codes: an occurrence's unit."""
         import xxhash
 
-        if len(self.roots) > MAX_UNITS or self.nodes > MAX_NODES:
+        if len(self.units) > MAX_UNITS or self.nodes > MAX_NODES:
             self.clear()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed) for u in units), np.uint64, len(units))
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        known = np.fromiter(map(self.units.get, units, repeat(-1)), np.int64, len(units))
+        hashes, new = self.hash[known], np.flatnonzero(known < 0)
+        hashes[new] = [xxhash.xxh64_intdigest(units[i].encode("utf-8", "surrogatepass"), self.seed) for i in new.tolist()]
         keys = hashes[codes] + doc_keys
         times = np.bincount(codes, minlength=len(units))
         slot = (hashes >> np.uint64(40)).astype(np.int64)
-        roots = np.fromiter((self.roots.get(u, 0) for u in units), np.int64, len(units))
-        long = np.fromiter(map(len, units), np.int64, len(units)) > LONG
-        once = (times == 1) & ~self.met[slot] & (roots == 0) & ~long
+        long = lengths > LONG
+        once = (times == 1) & ~self.met[slot] & (known < 0) & ~long
         self.met[slot[times > 0]] = True
         first = np.zeros(len(units), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
+        out, roots = np.zeros(len(codes), np.int64), self.root[known]
         # units that were not met before; those met once keep no tree
-        out = np.zeros(len(codes), np.int64)
-        fresh = np.flatnonzero((roots == 0) & (times > 0) & ~long & ~once)
-        self.first = np.zeros(len(fresh), np.int64)
-        if len(fresh):
-            out[first[fresh]] = self._grow(units, fresh, keys[first[fresh]], np.full(len(fresh), -1), np.zeros(len(fresh), np.int64))
-            roots[fresh] = self.first
+        fresh = np.flatnonzero((known < 0) & (times > 0) & ~long & ~once)
+        none = np.full(len(fresh), -1)
+        out[first[fresh]], roots[fresh] = self._grow(units, lengths, fresh, keys[first[fresh]], none, np.zeros(len(fresh), np.int64))
+        n = len(self.units)
+        self.root, self.hash = self._room(self.root, n + len(fresh)), self._room(self.hash, n + len(fresh))
+        self.root[n : n + len(fresh)], self.hash[n : n + len(fresh)] = roots[fresh], hashes[fresh]
+        self.units.update(zip([units[i] for i in fresh.tolist()], range(n, n + len(fresh))))
         walking = np.flatnonzero(~(once | long)[codes])
         at, depth = roots[codes[walking]], np.zeros(len(walking), np.int64)
         while len(walking):
@@ -353,8 +361,7 @@ class Trees:
             walking, left, depth = walking[fell], left[fell], depth[fell]
             if len(fell):  # one occurrence extends each branch, the others go on from there
                 _, one = np.unique(left, return_index=True)
-                self.first = np.zeros(len(one), np.int64)
-                out[walking[one]] = self._grow(units, codes[walking[one]], keys[walking[one]], left[one], depth[one])
+                out[walking[one]], _ = self._grow(units, lengths, codes[walking[one]], keys[walking[one]], left[one], depth[one])
                 rest = np.ones(len(walking), bool)
                 rest[one] = False
                 walking, left, depth = walking[rest], left[rest], depth[rest]
@@ -363,11 +370,7 @@ class Trees:
                 walking, at, depth = walking[at > 0], at[at > 0], depth[at > 0]
         kept = self.ids, self.leaves, self.nodes
         single = np.flatnonzero(once)
-        if len(single):
-            self.first, roots_kept = np.zeros(len(single), np.int64), len(self.roots)
-            out[first[single]] = self._grow(units, single, keys[first[single]], np.full(len(single), -1), np.zeros(len(single), np.int64))
-            for _ in range(len(self.roots) - roots_kept):
-                self.roots.popitem()  # the latest
+        out[first[single]], _ = self._grow(units, lengths, single, keys[first[single]], np.full(len(single), -1), np.zeros(len(single), np.int64))
         pool, ends = self.pool[: self.ids].copy(), self.ends[: self.leaves + 1].copy()
         self.branch[2 * kept[2] : 2 * self.nodes] = 0
         self.ids, self.leaves, self.nodes = kept
@@ -402,14 +405,21 @@ def encode_batch(model: Model, texts: pa.Array, doc_keys: np.ndarray, dropout: f
     coded = flat.dictionary_encode()
     units = [w if w[:1] == "\n" else SPACE + w for w in coded.dictionary.to_pylist()]
     codes = coded.indices.to_numpy().astype(np.int64)
-    if pc.any(odd).as_py():  # these are cut one by one
-        pieces, index = np.split(codes, bounds[1:-1]), {u: i for i, u in enumerate(units)}
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            own = [u.replace(" ", SPACE) for u in UNIT.findall(" " + texts[i].as_py().replace(SPACE, LITERAL))]
-            pieces[i] = np.array([index.setdefault(u, len(index)) for u in own], np.int64)
-        codes, units = np.concatenate(pieces), list(index)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
     sizes = np.diff(bounds)
+    if pc.any(odd).as_py():  # these are cut one by one; they stand as one empty part so far
+        index, own = {u: i for i, u in enumerate(units)}, []
+        which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        for i in which.tolist():
+            found = [u.replace(" ", SPACE) for u in UNIT.findall(" " + texts[i].as_py().replace(SPACE, LITERAL))]
+            own.append(np.array([index.setdefault(u, len(index)) for u in found], np.int64))
+        units, is_odd = list(index), np.zeros(len(sizes), bool)
+        is_odd[which] = True
+        plain = codes[np.repeat(~is_odd, sizes)]
+        sizes[which] = [len(x) for x in own]
+        codes = np.empty(int(sizes.sum()), np.int64)
+        at = np.repeat(is_odd, sizes)
+        codes[at], codes[~at] = np.concatenate(own), plain
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
     place = (np.arange(len(codes)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64)
     pool, ends, at = trees(model, dropout, seed).segment(units, codes, mix(np.repeat(doc_keys, sizes) + GOLDEN * (place + np.uint64(1))))
     starts, own = ends[at], ends[at + 1] - ends[at]
@@ -422,9 +432,21 @@ def encode_batch(model: Model, texts: pa.Array, doc_keys: np.ndarray, dropout: f
     return out, counts
 
 
-def decode_ids(model: Pieces, ids: np.ndarray) -> bytes:
-    """The text of one document's ids, in UTF-8."""
-    return b"".join([model.bytes_of[i] for i in ids.tolist()])[1:]  # less the leading space
+def encode_column(model: Model, texts: pa.Array, doc_ids: pa.Array, dropout: float, seed: int) -> pa.Array:
+    keys = doc_ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+    ids, counts = encode_batch(model, texts, mix(keys + np.uint64(seed)), dropout, seed)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+
+
+def decode_column(pieces: pa.Array, column: pa.Array) -> pa.Array:
+    """The texts of lists of ids; pieces: the bytes of each id."""
+    bounds = column.offsets.to_numpy()  # of a slice: into all values
+    flat = pieces.take(column.values.slice(bounds[0], bounds[-1] - bounds[0]))  # the bytes of all texts, end to end
+    ends = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1)[bounds - bounds[0]]
+    whole = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), flat.buffers()[2]])
+    texts = pc.utf8_slice_codeunits(whole.cast(pa.string()), 1)  # less the leading space
+    return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), texts)
 
 
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, name: str = "pieces") -> DataFrame:
@@ -432,14 +454,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
 
     def make():
         model = load(model_path)
-
-        def compute(b: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts, keys = b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            ids, counts = encode_batch(model, texts, mix(keys.astype(np.int64).astype(np.uint64) + np.uint64(seed)), dropout, seed)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
-            return {name: pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
-
-        return compute
+        return lambda b: {name: encode_column(model, b.column("text"), b.column("doc_id"), dropout, seed)}
 
     return features.with_columns(docs, make, f"`{name}` array<int>")
 
@@ -448,15 +463,23 @@ def decode(coded: DataFrame, model_path: str, ids: str = "pieces", name: str = "
     """The rows of ``coded`` with the text of their ids; null for null."""
 
     def make():
-        model = load(model_path, Pieces)
+        pieces = pa.array(load(model_path, Pieces).bytes_of, pa.binary())
+        return lambda b: {name: decode_column(pieces, b.column(ids))}
+
+    return features.with_columns(coded, make, f"`{name}` string")
+
+
+def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
+    """What ``encode`` and then ``decode`` add, in one worker a task instead of two."""
+
+    def make():
+        model = load(model_path)
+        pieces = pa.array(model.bytes_of, pa.binary())
 
         def compute(b: pa.RecordBatch) -> dict[str, pa.Array]:
-            column = b.column(ids)
-            offsets = column.offsets.to_numpy()  # of a slice: into all values
-            flat = column.values.to_numpy(zero_copy_only=False)
-            texts = [None if null else decode_ids(model, flat[s:e]).decode() for s, e, null in zip(offsets, offsets[1:], column.is_null().to_pylist())]
-            return {name: pa.array(texts, pa.string())}
+            ids = encode_column(model, b.column("text"), b.column("doc_id"), dropout, seed)
+            return {"pieces": ids, "decoded": decode_column(pieces, ids)}
 
         return compute
 
-    return features.with_columns(coded, make, f"`{name}` string")
+    return features.with_columns(docs, make, "pieces array<int>, decoded string")

@@ -17,9 +17,11 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import common
+from marlstone.llm import common, features
 
 MAGIC = b"S8BF0001"
 GROUP = 12
 #: (ids a word, bits an id) by selector; the last is the escape
 SELECTORS = ((12, 5), (6, 10), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 12 * 4096
+#: Bytes of text that a task encodes together; in larger slices fewer words are new.
+SLICE_BYTES = 8 << 20
 #: Distinct words whose ids a Python worker keeps; further ones are encoded each time.
 CACHE_WORDS = 500_000
 
@@ -76,12 +80,13 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts with the tokenizers library; ids of words are kept.
+    """Ids of whole texts as the tokenizers library gives them; ids of words are kept.
 
-    The pre-tokenizer never joins what lies on either side of a lone space between two other
+    A byte-level pre-tokenizer never joins what lies on either side of a lone space between two other
     characters, or of a lone line break between two, and takes the space with what follows. So a
     text's ids are those of its pieces between such spaces and breaks, one after another. Texts
-    with other white space are encoded in one piece."""
+    with other white space, or with an added token, are encoded in one piece. So are all texts if the tokenizer's
+    file says anything else than a byte-level pre-tokenizer without normaliser over plain BPE."""
 
     ODD = r"  |\n\n| \n|\n |\A[ \n]|[ \n]\z|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
@@ -90,52 +95,87 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.by_words = (
+            not told.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and not told.get("truncation") and not told.get("padding")
+        )
+        self.added = [t["content"] for t in told.get("added_tokens") or []]
+        # word: number; the ids of number i are pool[starts[i] : starts[i] + sizes[i]]
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and the number of each text's."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(words)
+        self.pool, self.starts, self.sizes = (_room(x, k) for x, k in ((self.pool, self.used + len(ids)), (self.starts, n + m), (self.sizes, n + m)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.sizes[n : n + m], self.starts[n : n + m] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + m)))
+
+    def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces as they follow a space, or with their line break."""
-        bases: dict[str, tuple[str, str]] = {}
-        for p in pieces:  # a letter never joins a final full stop or comma
-            bases[p] = (p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else (p, "")
-        need = list({x for x, _ in bases.values()} - self.known.keys())
-        self.known |= zip(need, self._ids([x if x[0] == "\n" else " " + x for x in need]))
-        tails = dict(zip(".,", self._ids([".", ","]))) | {"": b""}
-        for p, (base, tail) in bases.items():
-            if tail:
-                self.known[p] = self.known[base] + tails[tail]
+        tailed = [p for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]  # a letter never joins a final full stop or comma
+        bases = [p[:-1] for p in tailed]
+        need = list(dict.fromkeys(x for x in chain(set(pieces).difference(tailed), bases) if x not in self.known))
+        if need:
+            self._keep(need, *self._ids([x if x[0] == "\n" else " " + x for x in need]))
+        if tailed:
+            base = np.fromiter(map(self.known.__getitem__, bases), np.int64, len(bases))
+            sizes = self.sizes[base] + 1
+            ends = np.cumsum(sizes)
+            ids = self.pool.take(np.repeat(self.starts[base] - (ends - sizes), sizes) + np.arange(int(ends[-1])), mode="clip")  # the last of each is put in below
+            stop, comma = (self._ids([x])[0][0] for x in ".,")
+            ids[ends - 1] = np.where([p[-1] == "." for p in tailed], stop, comma)
+            self._keep(tailed, ids, sizes)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by the end id, and their counts by text."""
-        before = len(self.known)
+        n_before, used_before = len(self.known), self.used
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, self.ODD)
+        odd = pc.match_substring_regex(texts, self.ODD) if self.by_words else pa.array([True] * len(texts))
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         body = pc.if_else(odd, "", pc.replace_substring(texts, "\n", " \n"))
         lists = pc.split_pattern(body, " ")
         flat, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
         codes = flat.indices.to_numpy().astype(np.int64)
         words = flat.dictionary.to_pylist()
-        self._learn(set(words).difference(self.known, ("",)))
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        # the first piece of a text follows no space; the text's end id goes in front of it
-        heads = pc.if_else(odd, texts, pc.list_element(lists, 0)).to_pylist()
-        parts = [b"" if w == "" else self.known[w] for w in words] + [end + x for x in self._ids(heads)] + [end]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        codes[bounds[:-1]] = len(words) + np.arange(len(heads))
-        codes = np.append(codes, len(parts) - 1)
-        own = sizes[codes]
-        places = np.cumsum(own) - own
-        index = np.repeat(starts[codes] - places, own) + np.arange(own.sum())
-        ids = np.frombuffer(b"".join(parts), "<u4")[index]
-        skip = len(end) // 4  # the end id in front of the first text
-        counts = np.diff(np.append(places, own.sum())[np.append(bounds[:-1], bounds[-1])])
-        if before >= CACHE_WORDS:  # the frequent words are known by now
-            for _ in range(len(self.known) - before):
+        self._learn([w for w in words if w and w not in self.known])
+        number = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        sizes, starts = self.sizes[number], self.starts[number]
+        sizes[[i for i, w in enumerate(words) if not w]] = 0
+        # the first piece of a text follows no space; the text before it ends there
+        heads, per = self._ids(pc.if_else(odd, texts, pc.list_element(lists, 0)).to_pylist())
+        tail = 0 if end_id is None else 1
+        all_heads = np.full(len(heads) + tail * (len(per) + 1), end_id or 0, "<u4")
+        all_heads[np.arange(len(heads)) + tail * np.repeat(np.arange(1, len(per) + 1), per)] = heads
+        pool = np.concatenate([self.pool[: self.used], all_heads])
+        own = np.append(per + tail, tail)  # each text's end stands in front of the next, and one after the last
+        sizes, starts = np.concatenate([sizes, own]), np.concatenate([starts, self.used + np.cumsum(own) - own])
+        codes[bounds[:-1]] = len(words) + np.arange(len(per))
+        codes = np.append(codes, len(words) + len(per))
+        each = sizes[codes]
+        places = np.cumsum(each) - each
+        ids = pool[np.repeat(starts[codes] - places, each) + np.arange(int(each.sum()))]
+        counts = np.diff(np.append(places, each.sum())[np.append(bounds[:-1], bounds[-1])])
+        if n_before >= CACHE_WORDS:  # the frequent words are known by now
+            for _ in range(len(self.known) - n_before):
                 self.known.popitem()  # the latest
-        return ids[skip:], counts
+            self.used = used_before
+        return ids[tail:], counts
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -147,6 +187,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of batches, put together until they reach SLICE_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLICE_BYTES:
+            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -198,9 +251,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         own = encoder(tokenizer_path)
 
         def chunks():
-            for b in batches:
-                for i in range(0, b.num_rows, 1000):
-                    yield b.column(0).slice(i, 1000).to_pylist(), *own.encode(b.column(1).slice(i, 1000), end_id)
+            for ids, texts in gathered(batches):
+                for i, n in features.slices(texts, SLICE_BYTES):
+                    yield ids.slice(i, n).to_pylist(), *own.encode(texts.slice(i, n), end_id)
 
         n, ids = _write_file(out_dir, task.partitionId(), task.taskAttemptId(), chunks())
         yield pa.RecordBatch.from_pydict({"file": pa.array([task.partitionId()], pa.int64()), "docs": pa.array([n], pa.int64()), "ids": pa.array([ids], pa.int64())})
@@ -209,7 +262,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     files = max(1, -(-total // file_bytes))
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = hashed.repartitionByRange(int(files), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return common.materialise(ordered.mapInArrow(common.frugal_batches(run), "file long, docs long, ids long"), "token-files")
+    return common.materialise(common.map_arrow(ordered, run, "file long, docs long, ids long"), "token-files")
 
 
 def _read_file(out_dir: str, index: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -227,14 +280,16 @@ def _read_file(out_dir: str, index: int) -> Iterator[tuple[int | None, int, np.n
         at += 8 * n_docs
         null = np.frombuffer(footer, np.uint8, n_docs, at)
         counts = np.frombuffer(footer, "<u8", n_docs, at + n_docs).astype(np.int64)
-        held, start, k = np.zeros(0, np.uint64), 0, 0
+        held, have, start, k = [], 0, 0, 0
         for d, is_null, count in zip(doc_ids.tolist(), null.tolist(), counts.tolist()):
-            while len(held) < count:
+            while have < count:
                 offset, words, ids = (int(x) for x in blocks[k])
                 k += 1
-                held = np.concatenate([held, unpack(np.frombuffer(f.read_at(8 * words, offset), "<u8"), ids)])
-            yield None if is_null else d, start, held[:count]
-            held, start = held[count:], start + count
+                held.append(unpack(np.frombuffer(f.read_at(8 * words, offset), "<u8"), ids))
+                have += ids
+            whole = held[0] if len(held) == 1 else np.concatenate([np.zeros(0, np.uint64), *held])
+            yield None if is_null else d, start, whole[:count]
+            held, have, start = [whole[count:]], have - count, start + count
 
 
 def read_tokens(spark, out_dir: str, files: DataFrame) -> DataFrame:
@@ -257,4 +312,4 @@ def read_tokens(spark, out_dir: str, files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
 
     table = spark.createDataFrame(starts, "file long, base long").repartition(len(starts), "file")
-    return table.mapInArrow(common.frugal_batches(run), schema)
+    return common.map_arrow(table, run, schema)

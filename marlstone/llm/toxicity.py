@@ -2,34 +2,31 @@
 
 Categories are predicted one after another, each by a linear model over the words of a text, numbers
 of its style, and the probabilities of the categories before it. While training, those earlier
-probabilities are out-of-fold predictions, so a later model sees them as good as they will be.
+probabilities are out-of-fold predictions, so a later model sees them as good as they will be: for
+each fold both the model and its terms come from the other folds.
 
 The models are fitted on the driver on at most ``TRAIN_ROWS`` labelled documents; terms are chosen on
 the same sample by their log-odds. Every document is scored, over its whole text.
 
 Defined cases: null and empty texts have no terms; without labels, or with labels of one kind only, a
 category's probability is its smoothed rate and nothing is rejected; repeated rows score alike;
-further columns are kept.
+further columns are kept, but one with the name of a probability gives way to it in ``score``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import features
+from marlstone.llm import common, features
 from marlstone.llm.linear import Logistic, Sparse, best_threshold
 
 TRAIN_ROWS = 12_000
 MAX_TERMS = 2_000
-MIN_DOCS = 5
 FOLDS = 5
 #: The label columns are quality and toxic: poor quality is the first link, toxicity the second.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -50,57 +47,33 @@ class Chain:
         return probs
 
 
-def fit_chain(dense: np.ndarray, sparse: Sparse, labels: np.ndarray, folds: np.ndarray) -> tuple[list[Logistic], list[float], np.ndarray]:
-    """Models, thresholds of the best out-of-fold F1, and the out-of-fold probabilities."""
+def fit_chain(dense: np.ndarray, sparse: Sparse, labels: np.ndarray, folds: np.ndarray, usable: list[np.ndarray]) -> tuple[list[Logistic], list[float], np.ndarray]:
+    """Models, thresholds of the best out-of-fold F1, and the out-of-fold probabilities. usable: which terms each fold's model may use, and last that of all."""
+    by_fold = [sparse.only(u) for u in usable[:-1]]
+    whole = sparse.only(usable[-1])
     models, cuts, out = [], [], np.zeros((len(dense), 0))
     for c in range(labels.shape[1]):
         x, y, p = np.column_stack([dense, out]), labels[:, c], np.zeros(len(dense))
         for f in range(FOLDS):
             test, train = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
             if len(test):
-                p[test] = Logistic().fit(x[train], y[train], sparse.take(train)).predict(x[test], sparse.take(test))
-        models.append(Logistic().fit(x, y, sparse))
+                p[test] = Logistic().fit(x[train], y[train], by_fold[f].take(train)).predict(x[test], by_fold[f].take(test))
+        models.append(Logistic().fit(x, y, whole))
         cuts.append(best_threshold(p, y) if len(set(y.tolist())) == 2 else 1.1)
         out = np.column_stack([out, p])
     return models, cuts, out
 
 
-def choose_terms(sample: DataFrame, categories: list[str]) -> list[str]:
-    """The terms of the largest log-odds, either way, for any category."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        by: list[Counter] = [Counter() for _ in categories]
-        for b in batches:
-            for text, *ys in zip(b["text"], *(b[c] for c in categories)):
-                found = features.terms(text)
-                n.update(found)
-                for own, y in zip(by, ys):
-                    if y:
-                        own.update(found)
-        yield pd.DataFrame({"term": list(n), "n": list(n.values())} | {f"y{i}": [own[t] for t in n] for i, own in enumerate(by)})
-
-    ys = [f"y{i}" for i in range(len(categories))]
-    counts = sample.select("text", *categories).mapInPandas(count, "term string, n long, " + ", ".join(f"{y} long" for y in ys))
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(y) for c, y in zip(categories, ys))).first()
-    if not totals["n"]:
-        return []
-    sums = counts.groupBy("term").agg(F.sum("n").alias("n"), *(F.sum(y).alias(y) for y in ys)).where(F.col("n") >= MIN_DOCS)
-    strength = [F.abs(F.log((F.col(y) + 0.5) / (totals[y] + 1.0)) - F.log((F.col("n") - F.col(y) + 0.5) / (totals["n"] - totals[y] + 1.0))) * F.sqrt(F.least("n", F.lit(50))) for y in ys]
-    picked: dict[str, None] = {}
-    for s in strength:
-        picked |= dict.fromkeys(r[0] for r in sums.orderBy(F.desc(s), "term").limit(MAX_TERMS // len(ys)).collect())
-    return list(picked)
-
-
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> Chain:
     categories = CATEGORIES if categories is None else categories
     names = list(categories)
-    sample = features.labelled_sample(docs, labels, categories, TRAIN_ROWS).select("doc_id", "text", *names).persist()
-    chosen = choose_terms(sample, names)
+    sample = features.labelled_sample(docs.select("doc_id", "text"), labels, categories, TRAIN_ROWS).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)))
+    sample = common.materialise(sample.select("doc_id", "text", "fold", *names), "labelled")
+    chosen = features.choose_terms(sample, names, FOLDS, MAX_TERMS)
+    every = list(dict.fromkeys(t for own in reversed(chosen) for t in own))  # those of all come first
 
     def make():
-        index = features.TermIndex(chosen)
+        index = features.TermIndex(every)
 
         def compute(b: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = b.column("text").to_pylist()
@@ -108,12 +81,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
         return compute
 
-    rows = features.with_columns(sample, make, "has array<int>, style array<double>").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).alias("fold"), "has", "style", *names).toPandas()
-    sample.unpersist()
+    rows = features.with_columns(sample, make, "has array<int>, style array<double>").select("fold", "has", "style", *names).toPandas()
     dense = np.array(rows["style"].tolist(), np.float64).reshape(len(rows), features.N_STYLE)
-    sparse = Sparse(rows["has"].tolist(), len(chosen))
-    models, cuts, _ = fit_chain(dense, sparse, rows[names].to_numpy(np.float64).reshape(len(rows), len(names)), rows["fold"].to_numpy())
-    return Chain(names, chosen, models, cuts)
+    usable = [np.isin(np.array(every, object), np.array(own, object)) if own else np.zeros(len(every), bool) for own in chosen]
+    models, cuts, _ = fit_chain(dense, Sparse(rows["has"].tolist(), len(every)), rows[names].to_numpy(np.float64).reshape(len(rows), len(names)), rows["fold"].to_numpy(), usable)
+    for m in models:
+        m.w = m.w[: len(chosen[-1])]
+    return Chain(names, chosen[-1], models, cuts)
 
 
 def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
@@ -138,5 +112,5 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, category: str = "toxic") -> DataFrame:
     """The documents that the chain does not find toxic, columns unchanged."""
     chain = train(docs, labels)
-    cut = chain.thresholds[chain.categories.index(category)]
-    return score(docs, chain, "__p_").where(F.col(f"__p_{category}") < cut).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut, prefix = chain.thresholds[chain.categories.index(category)], common.unused(docs, "p_")
+    return score(docs, chain, prefix).where(F.col(f"`{prefix}{category}`") < cut).select(*(F.col(f"`{c}`") for c in docs.columns))

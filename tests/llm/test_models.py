@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import pitman_yor, quality, sentencepiece_bpe, toxicity
+from marlstone.llm import features, pitman_yor, quality, sentencepiece_bpe, toxicity
 from marlstone.llm.linear import Logistic, Sparse, best_threshold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, style string"
@@ -37,7 +37,7 @@ def labelled(spark):
             t = " ".join(w)
         docs.append((i, t, "en", f"s{i % 3}", len(t), "x"))
         labels.append((i, int(not junk), int(toxic)))
-    docs += [(5000, None, None, None, None, "x"), (5001, "", "en", "s0", 0, "x"), (0, docs[0][1], "en", "s0", 3, "x"), (None, "plain words", "en", "s1", 11, "x")]
+    docs += [(5002, ("kar lona " * 100_000) + "vilefool hatefulword nastything vilefool", "en", "s0", 9, "x"), (5000, None, None, None, None, "x"), (5001, "", "en", "s0", 0, "x"), (0, docs[0][1], "en", "s0", 3, "x"), (None, "plain words", "en", "s1", 11, "x")]
     labels += [(3, None, 0), (9999, 1, 1)]
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:500] + labels[-2:], "doc_id long, quality int, toxic int"), labels
 
@@ -66,12 +66,41 @@ def test_quality(spark, labelled):
     assert quality.reject(docs.limit(0), some).count() == 0
 
 
+def test_words_alone_tell_quality(spark):
+    """Texts of one style, whose words differ: the text view must see the words."""
+    rng = random.Random(4)
+    good, bad = [f"g{a}{b}" for a in "aeiou" for b in "klmnp"], [f"b{a}{b}" for a in "aeiou" for b in "klmnp"]
+    both = [f"c{a}{b}" for a in "aeiou" for b in "klmnp"]
+    rows = [(i, prose(rng, 60, both + (good if i % 2 else bad)[:6]), "en", "s", 1, "x") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2, 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.p_quality >= model.threshold for r in quality.score(docs, model).collect()}
+    assert sum(got[i] == bool(i % 2) for i in range(250, 400)) >= 140
+
+
+def test_names_that_clash_with_scores(spark, labelled):
+    docs, some, _ = labelled
+    clash = docs.withColumn("p_quality", F.lit("q")).withColumn("p_toxic", F.lit("t")).withColumn("fold", F.lit(1)).withColumn("held", F.lit(2)).withColumn("has", F.lit(3)).withColumn("quality", F.lit("x")).withColumn("toxic", F.lit("y"))
+    for module in (quality, toxicity):
+        kept = module.reject(clash, some)
+        assert kept.columns == clash.columns and kept.select("doc_id").exceptAll(module.reject(docs, some).select("doc_id")).count() == 0
+        assert {tuple(r) for r in kept.select("p_quality", "p_toxic", "quality").distinct().collect()} == {("q", "t", "x")}
+
+
+def test_terms_of_a_fold_do_not_see_it(spark):
+    rows = [(f"always f{f} " + ("mark" if y else "plain") + f" only{f}x" * y, f, y) for f in range(3) for y in (0, 1) for _ in range(6)]
+    sample = spark.createDataFrame(rows, "text string, fold int, toxic int")
+    chosen = features.choose_terms(sample, ["toxic"], 3, 100)
+    assert len(chosen) == 4 and all(f"only{f}x" not in " ".join(chosen[f]) and "mark" in chosen[f] for f in range(3)) and "f" in chosen[3]
+
+
 def test_co_training_uses_the_pool():
     rng = np.random.default_rng(0)
 
     class V(quality.Views):
         def __init__(self, y):
             self.dense = (y + rng.normal(0, 0.3, len(y)))[:, None]
+            self.sparse = Sparse([[] for _ in y], 0)
             self.page_dense = (y + rng.normal(0, 0.3, len(y)))[:, None]
             self.page_sparse = Sparse([[] for _ in y], quality.BINS)
 
@@ -79,7 +108,7 @@ def test_co_training_uses_the_pool():
     known, pool, fresh_y = V(y), V(rng.integers(0, 2, 500).astype(float)), rng.integers(0, 2, 500).astype(float)
     fresh = V(fresh_y)
     model = quality.co_train(known, y, np.arange(60) % 2 == 0, pool)
-    assert ((model.predict(fresh.dense, fresh.page_dense, fresh.page_sparse) >= 0.5) == fresh_y).mean() > 0.95
+    assert ((model.predict(fresh.dense, fresh.sparse, fresh.page_dense, fresh.page_sparse) >= 0.5) == fresh_y).mean() > 0.95
 
 
 def test_logistic_and_threshold():
@@ -316,3 +345,4 @@ def test_sentencepiece_very_long(spark):
     both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, path), path)
     assert both.columns == ["doc_id", "text", "pieces", "decoded"]  # the clashing columns gave way
     assert {r.doc_id: r.decoded for r in both.collect()} == dict(enumerate(texts))
+    assert sentencepiece_bpe.round_trip(docs, path).exceptAll(both).count() == 0

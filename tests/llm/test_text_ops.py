@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from marlstone.llm import chat, decontaminate, sharding, token_file
 
@@ -48,6 +49,8 @@ def test_decontamination(spark):
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect())
     want = Counter((i, n, h, tuple(names)) for i, t in [*enumerate(texts), (0, texts[0]), (None, "short item")] for n, h, names in [brute_hits(t, items)])
     assert got == want
+    clash = docs.selectExpr("*", *(f"lang AS {c}" for c in ("text_hash", "doc", "fps", "hashes", "n_words", "spans")))
+    assert decontaminate.clean(clash, bench).columns == clash.columns and decontaminate.clean(clash, bench).count() == decontaminate.clean(docs, bench).count()
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts) if not brute_hits(t, items)[1]]
@@ -57,8 +60,10 @@ def test_decontamination(spark):
 
 def test_sharding(spark):
     texts = [None, "", "é" * 100, *(["same"] * 200), *(f"t{i}" * (i % 50) for i in range(300))]
-    docs = spark.createDataFrame([*rows(texts), *rows(texts)[:5]], DOCS).repartition(3)
-    out = sharding.shard(docs.drop("slot"), 7, bucket_bytes=2000).collect()
+    docs = spark.createDataFrame([*rows(texts), *rows(texts)[:5]], DOCS).repartition(3).selectExpr("*", *(f"words AS {c}" for c in ("shard", "bucket", "place", "total", "at", "doc", "order", "key")))
+    shards = sharding.shard(docs, 7, bucket_bytes=2000)
+    assert sorted(shards.columns) == sorted(docs.columns) and shards.where("bucket <> 'w' or total <> 'w' or doc <> 'w'").count() == 0
+    out = shards.collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in docs.collect())
     sizes = Counter(r.shard for r in out)
     assert set(sizes) == set(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
@@ -66,7 +71,23 @@ def test_sharding(spark):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
     order = [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))]
     assert order != sorted(order) and abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.2
-    assert sharding.shard(docs.drop("slot").limit(0), 7).count() == 0
+    assert sharding.shard(docs.limit(0), 7).count() == 0
+
+
+def test_sharding_ignores_the_layout(spark):
+    texts = [f"text {i} " * (i % 40) for i in range(1000)] + ["long " * 50_000]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    placed = [{(r.doc_id, r.shard, r.slot) for r in sharding.shard(d, 7, bucket_bytes=9000).collect()} for d in (docs, docs.repartition(5).orderBy(F.desc("doc_id")), docs.coalesce(1))]
+    assert placed[0] == placed[1] == placed[2]
+
+
+def test_sharding_against_a_plain_fisher_yates(spark):
+    """Every order of a small bucket comes up, and each about as often."""
+    ways = Counter()
+    docs = spark.createDataFrame(rows(["a", "b", "c"]), DOCS)
+    for seed in range(30):
+        ways[tuple(r.doc_id for r in sorted(sharding.shard(docs, 1, seed).collect(), key=lambda r: r.slot))] += 1
+    assert len(ways) >= 5 and max(ways.values()) <= 15
 
 
 def test_simple8b():
@@ -84,7 +105,7 @@ def test_token_file(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    texts = ["it's a Test, don't.", "a  b", "a\n\nb", "x\n y", "é.,", "I'll, we've.", "12, 3. 4.5,", "", " ", None, "中文, foo。", "a.b, c.,", "foo bar, x", "\nx", "x\n", "a\tb", "q\nr\ns t", "plain words here " * 20_000]
+    texts = ["it's a Test, don't.", "a  b", "a\n\nb", "x\n y", "é.,", "I'll, we've.", "12, 3. 4.5,", "", " ", None, "中文, foo。", "a.b, c.,", "foo bar, x", "\nx", "x\n", "a\tb", "q\nr\ns t", "a<|endoftext|>b c", "x <|endoftext|>", "." , "a.", "é, é. 3.", "z" * 200_000, "plain words here " * 20_000]
     docs = spark.createDataFrame([*rows(texts), rows(texts)[0], (None, "none", None, 0, None)], DOCS)
     out = f"file://{tmp_path}/f"
     files = token_file.write_tokens(docs, out, path, file_bytes=50_000)
@@ -99,6 +120,25 @@ def test_token_file(spark, tmp_path):
     assert token_file.read_tokens(spark, f"{out}2", none).count() == 0
 
 
+def test_tokenizers_of_other_kinds_see_whole_texts(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = {"type": "Replace", "pattern": {"String": "b c"}, "content": "q"}
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(told, f)
+    own, texts = token_file.Encoder(path), ["a b c d", None, "b c"]
+    ids, counts = own.encode(pa.array(texts), 2)
+    want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert not own.by_words and ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
 def test_chat_escapes():
     for t in ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<\\s>", "a\\\\b[/INST]<s></s>", "", "[INST", "\n\\\n"]:
         assert chat.unescape(chat.escape(t)) == t
