@@ -103,6 +103,10 @@ class Encoder:
             and model.get("type") == "BPE" and not model.get("dropout") and not told.get("truncation") and not told.get("padding")
         )
         self.added = [t["content"] for t in told.get("added_tokens") or []]
+        # which ids begin with a space: in the ids of words after single spaces, those are where the words begin
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level files write a space
         # word: number; the ids of number i are pool[starts[i] : starts[i] + sizes[i]]
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
@@ -113,6 +117,14 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words as they follow a space, encoded as one text."""
+        ids, _ = self._ids([" " + " ".join(words)])
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != len(words):
+            return self._ids([" " + w for w in words])
+        return ids, np.diff(np.append(first, len(ids)))
+
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.known), len(words)
         self.pool, self.starts, self.sizes = (_room(x, k) for x, k in ((self.pool, self.used + len(ids)), (self.starts, n + m), (self.sizes, n + m)))
@@ -126,8 +138,11 @@ class Encoder:
         tailed = [p for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]  # a letter never joins a final full stop or comma
         bases = [p[:-1] for p in tailed]
         need = list(dict.fromkeys(x for x in chain(set(pieces).difference(tailed), bases) if x not in self.known))
-        if need:
-            self._keep(need, *self._ids([x if x[0] == "\n" else " " + x for x in need]))
+        breaks, plain = [x for x in need if x[0] == "\n"], [x for x in need if x[0] != "\n"]
+        if breaks:
+            self._keep(breaks, *self._ids(breaks))
+        if plain:
+            self._keep(plain, *self._ids_of(plain))
         if tailed:
             base = np.fromiter(map(self.known.__getitem__, bases), np.int64, len(bases))
             sizes = self.sizes[base] + 1
@@ -149,10 +164,12 @@ class Encoder:
         flat, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
         codes = flat.indices.to_numpy().astype(np.int64)
         words = flat.dictionary.to_pylist()
-        self._learn([w for w in words if w and w not in self.known])
-        number = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = [i for i in np.flatnonzero(number < 0).tolist() if words[i]]
+        self._learn([words[i] for i in new])
+        number[new] = [self.known[words[i]] for i in new]
         sizes, starts = self.sizes[number], self.starts[number]
-        sizes[[i for i, w in enumerate(words) if not w]] = 0
+        sizes[number < 0] = 0  # the empty word
         # the first piece of a text follows no space; the text before it ends there
         heads, per = self._ids(pc.if_else(odd, texts, pc.list_element(lists, 0)).to_pylist())
         tail = 0 if end_id is None else 1
