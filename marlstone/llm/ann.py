@@ -1,17 +1,19 @@
-"""Approximate nearest neighbours of the largest inner product: an inverted file with exact scores.
+"""Approximate nearest neighbours of the largest inner product: an inverted file, product-quantised residuals, exact reranking.
 
 A further component sqrt(M^2 - |x|^2), M the largest norm of all, makes the nearest vector the one of the
-largest inner product. Vectors go to the nearest of the coarse centroids. A query looks into the lists of
-its nearest centroids and is scored with every vector there: one matrix product tells which can be among the k
-best, and those are scored in double precision, component by component. So what lies in the lists
-looked into is ranked exactly, near-copies and copies too; only vectors of other lists can be missed.
+largest inner product. Vectors go to the nearest of the coarse centroids; what is left of them is kept as one code of 256 for each
+SUB components. A query looks into the lists of its nearest centroids and takes its score with every vector there from asymmetric
+tables: its inner products with all centroids and codes, summed by the vector's list and codes. Whoever comes within a margin of the k-th
+best of these is scored in double precision, component by component, on the original vector. The margin is a score and not a number of candidates, so
+however many near-copies have one code, all are reranked.
 
 Two things shorten the work and lose nothing. Of exactly equal vectors in a chunk the k + 1 smallest ids stand for
 all. And the k-th best score with the sample's vectors in the lists looked into is a bound below which no other is kept.
 
-Centroids are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
+Centroids and codes are fitted on the driver on at most ``SAMPLE`` vectors, chosen by a hash
 of vec_id. The number of lists to look into is the least that finds ``TARGET`` of the true neighbours of ``ASKED``
-queries, which brute force over all rows tells; as lists are scored exactly, that is the recall of the whole search. Every vector is indexed. Lists are laid out in chunks of at most
+queries, which brute force over all rows tells; and the margin is twice what the tables' scores of ``SURE`` of these neighbours
+are off by. Every vector is indexed. Lists are laid out in chunks of at most
 about ``CHUNK`` vectors, a large list in several, and queries in blocks, so that a task holds one chunk and
 one block at a time whatever the number of either.
 
@@ -33,7 +35,9 @@ from pyspark.sql.types import FloatType
 
 from marlstone.llm import common
 
-SAMPLE, ROUNDS, TARGET = 16_000, 8, 0.98
+SAMPLE, ROUNDS, TARGET, SURE = 16_000, 8, 0.98, 0.999
+#: Components a code stands for, and codes.
+SUB, CODES = 4, 256
 #: Queries whose true neighbours set the number of lists to look into.
 ASKED = 200
 CHUNK, BLOCK = 8192, 1024
@@ -71,6 +75,8 @@ class Index:
     ids: np.ndarray
     sample: np.ndarray
     own: np.ndarray
+    books: list[np.ndarray] | None = None
+    margin: float = np.inf
     first_chunk: np.ndarray | None = None
     salts: np.ndarray | None = None
 
@@ -78,6 +84,18 @@ class Index:
         """Vectors with the further component."""
         return np.column_stack([x, np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))])
 
+    def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The codes of what the vectors' centroids leave of them, a row each."""
+        rest = x - self.centres[own, :-1]
+        return np.column_stack([nearest(rest[:, SUB * j : SUB * (j + 1)], book) for j, book in enumerate(self.books)]).astype(np.uint8)
+
+    def scores(self, queries: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Queries by vectors: inner products with the vectors' centroids and codes, from tables."""
+        out = (queries @ self.centres[:, :-1].T)[:, own]
+        for j, book in enumerate(self.books):
+            out += (queries[:, SUB * j : SUB * (j + 1)] @ book.T)[:, codes[:, j]]
+        return out
+
     def order(self, queries: np.ndarray) -> np.ndarray:
         """All lists in the order in which each query looks into them; its further component is zero."""
         score = queries @ self.centres[:, :-1].T - (self.centres**2).sum(axis=1) / 2
@@ -115,14 +133,14 @@ def first_copies(x: np.ndarray, n: int) -> np.ndarray:
     return np.sort(by_group[places - np.maximum.accumulate(np.where(new, places, 0)) < n])
 
 
-def best_of(index: Index, q_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, looked: np.ndarray, ids: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(index: Index, q_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, looked: np.ndarray, ids: np.ndarray, own: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, vec_id, score) of the k best of x, by score and then id, for each query; none below its floor."""
-    s = queries @ x.T
+    s = index.scores(queries, own, codes)
     s[~looked[:, own] | (q_ids[:, None] == ids)] = -np.inf
-    least = floors.copy()
+    least = floors - index.margin / 2  # what the tables make of a score at the floor
     many = np.flatnonzero((s >= least[:, None]).sum(axis=1) > k)
     if len(many):
-        least[many] = np.maximum(least[many], np.partition(s[many], -k, axis=1)[:, -k] - index.slack(queries[many]))
+        least[many] = np.maximum(least[many], np.partition(s[many], -k, axis=1)[:, -k] - index.margin)
     row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
     exact = np.zeros(len(row))
     for j in range(x.shape[1]):
@@ -130,7 +148,9 @@ def best_of(index: Index, q_ids: np.ndarray, queries: np.ndarray, floors: np.nda
     best = np.lexsort((ids[col], -exact, row))
     row, col, exact = row[best], col[best], exact[best]
     kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[kept], ids[col[kept]], exact[kept]
+    row, col, exact = row[kept], col[kept], exact[kept]
+    reach = exact >= floors[row]
+    return row[reach], ids[col[reach]], exact[reach]
 
 
 def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, seed: int = 1) -> Index:
@@ -141,6 +161,8 @@ def fit(ids: np.ndarray, sample: np.ndarray, n: int, largest: float, seed: int =
     index.centres = k_means(lifted, lists, rng)
     index.own = nearest(lifted, index.centres)
     index.probes = lists
+    rest = sample - index.centres[index.own, :-1]
+    index.books = [k_means(rest[:, i : i + SUB], CODES, rng) for i in range(0, rest.shape[1], SUB)]
     return index
 
 
@@ -170,11 +192,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def probes(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> int:
-    """The least number of lists with ``TARGET`` of the k true neighbours, among all of ``coded``, of ``ASKED`` of the queries."""
+def tune(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> None:
+    """Set the least number of lists with ``TARGET`` of the k true neighbours, among all of ``coded``, of ``ASKED`` of the queries, and the margin."""
     got = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(ASKED).collect()
     if not got:
-        return index.probes
+        return
     asked = coded.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +217,15 @@ def probes(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> int:
 
     near = common.map_arrow(coded.select("vec_id", "list", "v"), brute, "query long, vec_id long, list long, score double")
     true = near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") <= k)
-    rows = true.select("query", "list").collect()  # at most ASKED times k
+    rows = true.join(coded.select("vec_id", "codes"), "vec_id").select("query", "list", "score", "codes").collect()  # at most ASKED times k
     if not rows:
-        return index.probes
+        return
+    codes = np.array([list(r["codes"]) for r in rows], np.uint8)
+    told = index.scores(asked.value[1], np.array([r["list"] for r in rows]), codes)[[r["query"] for r in rows], np.arange(len(rows))]
+    index.margin = 2 * float(np.quantile(np.abs(told - np.array([r["score"] for r in rows])), SURE, method="higher"))
     places = np.argsort(index.order(asked.value[1]), axis=1)  # the place of each list in a query's order
     needed = places[[r["query"] for r in rows], [r["list"] for r in rows]]
-    return min(len(index.centres), int(np.quantile(needed, TARGET, method="higher")) + 1)
+    index.probes = min(len(index.centres), int(np.quantile(needed, TARGET, method="higher")) + 1)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -217,13 +242,14 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         ix = fitted.value
         for b in batches:
             if b.num_rows:
-                own = nearest(ix.lift(_matrix(b.column(1))), ix.centres)
-                yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "list": pa.array(own.astype(np.int32)), "v": b.column(1)})
+                x = _matrix(b.column(1))
+                own = nearest(ix.lift(x), ix.centres)
+                codes = [c.tobytes() for c in ix.encode(x, own)]
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "list": pa.array(own.astype(np.int32)), "codes": pa.array(codes, pa.binary()), "v": b.column(1)})
 
     kind = rows.schema["v"].dataType.simpleString()
-    coded = common.materialise(common.map_arrow(rows, assign, f"vec_id long, list int, v {kind}"), "lists")
-    if len(index.centres) > 1:
-        index.probes = probes(index, coded, coded.where(is_query), k)
+    coded = common.materialise(common.map_arrow(rows, assign, f"vec_id long, list int, codes binary, v {kind}"), "lists")
+    tune(index, coded, coded.where(is_query), k)
     sizes = np.zeros(len(index.centres), np.int64)
     for r in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
@@ -238,8 +264,8 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     full = spark.sparkContext.broadcast(index)
     at = spark.createDataFrame([(i, int(c), int(s)) for i, (c, s) in enumerate(zip(index.first_chunk, index.salts))], "list int, first long, salts long")
     placed = coded.join(F.broadcast(at), "list").withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("salts")))
-    chunks = placed.groupBy("chunk").agg(F.collect_list(F.struct("vec_id", "list", "v")).alias("rows"))
-    chunks = chunks.select("chunk", F.col("rows.vec_id").alias("ids"), F.col("rows.list").alias("lists"), F.flatten("rows.v").alias("x"))
+    chunks = placed.groupBy("chunk").agg(F.collect_list(F.struct("vec_id", "list", "codes", "v")).alias("rows"))
+    chunks = chunks.select("chunk", F.col("rows.vec_id").alias("ids"), F.col("rows.list").alias("lists"), F.col("rows.codes").alias("codes"), F.flatten("rows.v").alias("x"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = full.value
@@ -261,16 +287,17 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 ids, own, x, q_ids, q, floors = (b.column(c)[r].values.to_numpy() for c in ("ids", "lists", "x", "q_ids", "q", "floors"))
+                codes = np.frombuffer(b"".join(b.column("codes")[r].values.to_pylist()), np.uint8).reshape(len(ids), -1)
                 by_id = np.argsort(ids, kind="stable")
-                ids, own, x = ids[by_id], own[by_id], x.reshape(len(ids), -1)[by_id]
+                ids, own, codes, x = ids[by_id], own[by_id], codes[by_id], x.reshape(len(ids), -1)[by_id]
                 few = first_copies(x, k + 1)  # equal vectors score alike, and the smaller ids win
-                ids, own, x = ids[few], own[few], x[few].astype(np.float64)
+                ids, own, codes, x = ids[few], own[few], codes[few], x[few].astype(np.float64)
                 q = q.reshape(len(q_ids), -1)
                 for i in range(0, len(q), PART):
                     part = q[i : i + PART]
-                    row, found, score = best_of(ix, q_ids[i : i + PART], part, floors[i : i + PART], ix.looked(part), ids, own, x, k)
+                    row, found, score = best_of(ix, q_ids[i : i + PART], part, floors[i : i + PART], ix.looked(part), ids, own, codes, x, k)
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[i + row]), "vec_id": pa.array(found), "score": pa.array(score)})
 
-    found = common.map_arrow(asked.join(chunks, "chunk").select("ids", "lists", "x", "q_ids", "q", "floors"), scan, "query_id long, vec_id long, score double")
+    found = common.map_arrow(asked.join(chunks, "chunk").select("ids", "lists", "codes", "x", "q_ids", "q", "floors"), scan, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
