@@ -131,11 +131,14 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     sample = features.labelled_sample(base, labels, {"quality": "quality"}, TRAIN_ROWS).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0)
     sample = common.materialise(sample, "labelled")
     chosen = features.choose_terms(sample.where("not held").withColumn("fold", F.lit(0)), ["quality"], 0, MAX_TERMS)[-1]
+    common.frugal()  # the driver's Python too
     known = _viewed(sample, chosen)
     unlabelled = common.hash_sample(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct(), "doc_id", POOL_ROWS)
     pool = _viewed(base.join(F.broadcast(unlabelled), "doc_id").dropDuplicates(["doc_id"]), chosen)
     model = co_train(Views(known, len(chosen)), known["quality"].to_numpy(np.float64), known["held"].to_numpy(bool), Views(pool, len(chosen)))
     model.terms = chosen
+    del known, pool
+    common.give_back()
     return model
 
 

@@ -81,12 +81,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
         return compute
 
+    common.frugal()  # the driver's Python too
     rows = features.with_columns(sample, make, "has array<int>, style array<double>").select("fold", "has", "style", *names).toPandas()
     dense = np.array(rows["style"].tolist(), np.float64).reshape(len(rows), features.N_STYLE)
     usable = [np.isin(np.array(every, object), np.array(own, object)) if own else np.zeros(len(every), bool) for own in chosen]
     models, cuts, _ = fit_chain(dense, Sparse(rows["has"].tolist(), len(every)), rows[names].to_numpy(np.float64).reshape(len(rows), len(names)), rows["fold"].to_numpy(), usable)
     for m in models:
-        m.w = m.w[: len(chosen[-1])]
+        m.w = m.w[: len(chosen[-1])].copy()
+    del rows, dense
+    common.give_back()
     return Chain(names, chosen[-1], models, cuts)
 
 
