@@ -12,7 +12,7 @@ from marlstone.functions import weights as W
 
 def token_counts(df: DataFrame, v: VectorConfig, field: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     if v.kind == "whitespace":
-        return T.whitespace(df, field, keys)
+        return T.whitespace(df, field, keys, T.stopwords(v.language) if v.use_stopwords else None)
     if v.kind == "trigrams":
         return T.trigrams(df, field, keys)
     if v.kind == "full_text":

@@ -510,12 +510,12 @@ def metrics_latest_view(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS at_s, sum(value) AS value, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1),
-span AS (SELECT min(at_s) AS lo FROM b), grid AS (SELECT unnest(range(lo, lo + 86400, 300)) AS at_s FROM span)
+span AS (SELECT min(at_s) AS lo, max(at_s) AS hi FROM b), grid AS (SELECT unnest(range(lo, hi + 300, 300)) AS at_s FROM span)
 SELECT at_s, round(value, 4) AS value, n FROM grid LEFT JOIN b USING (at_s)""")
 def metrics_trend_series(spark, sf_dir):
     b = metrics.tumble(_events(spark, sf_dir).where("key = 'click'"), 300).persist()
-    lo = b.agg(F.min("bucket_start")).first()[0]
-    s = metrics.series(b.where(F.unix_seconds("bucket_start") < F.unix_seconds(F.lit(lo)) + 86_400), 300, F.lit(lo), F.timestamp_seconds(F.unix_seconds(F.lit(lo)) + 86_400))
+    lo, hi = b.agg(F.min("bucket_start"), F.max("bucket_start")).first()
+    s = metrics.series(b, 300, F.lit(lo), F.timestamp_seconds(F.unix_seconds(F.lit(hi)) + 300))
     return s.select(F.unix_seconds("bucket_start").alias("at_s"), F.round("value", 4).alias("value"), "n")
 
 

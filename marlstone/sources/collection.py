@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.config import META_TYPES, CollectionConfig, SearchRequest, check_collection_name
+from marlstone.config import MAX_TAG, MAX_TAGS, META_TYPES, CollectionConfig, SearchRequest, check_collection_name
 from marlstone.errors import Conflict, NotFound, ValidationError
 from marlstone.operators import filters, index, joins
 from marlstone.operators.search import Outcome, Tables, search
@@ -29,6 +29,23 @@ def with_indexes(docs: DataFrame, config: CollectionConfig) -> DataFrame:
     return docs
 
 
+def clean_tags(tags: Column) -> Column:
+    """Trimmed tags without blanks and repetitions, in their order."""
+    return F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: F.length(t) > 0))
+
+
+def valid_metadata(config: CollectionConfig) -> Column:
+    """Whether each indexed key of the metadata is absent or of its type, and tags keep their limits; deletes always are."""
+    rule = F.lit(True)
+    for key, kind in config.metadata_indexes.items():
+        raw = F.coalesce(F.get_json_object("metadata", f"$.{key}.value"), F.get_json_object("metadata", f"$.{key}"))
+        typed = F.try_to_timestamp(raw) if kind == "datetime" else raw.try_cast(META_TYPES[kind])
+        rule &= raw.isNull() | typed.isNotNull()
+    tags = F.coalesce(clean_tags(F.col("tags")), F.array().cast("array<string>"))
+    rule &= (F.size(tags) <= MAX_TAGS) & ~F.exists(tags, lambda t: F.length(t) > MAX_TAG)
+    return (F.col("op") == "delete") | rule
+
+
 def page(docs: DataFrame, page_size: int = 100, after: str | None = None) -> DataFrame:
     """The next ``page_size`` documents by id, and one more if there are more: a filter and a top-k."""
     if not 1 <= page_size <= 1000:
@@ -149,13 +166,24 @@ class Collection:
 
     # -- writing
     def apply(self, ops: DataFrame) -> None:
-        """Apply upserts and deletes (seq, op, doc_id, doc_ts, name, description, content, metadata, tags) in order of seq."""
+        """Apply upserts and deletes (seq, op, doc_id, doc_ts, name, description, content, metadata, tags) in order of seq.
+
+        Operations whose metadata or tags are not valid are left out and kept as dead letters, see ``rejected``."""
         config = self.config
-        if not config.store_content:
-            ops = ops.withColumn("content", F.col("content"))
-        new = ingest.fold(self.docs(), ops)
+        ops, dead = ingest.split_valid(ops, valid_metadata(config), "metadata of another type than its index, or tags beyond their limits")
+        if not dead.isEmpty():
+            dead.select("seq", "op", "doc_id", "doc_ts", "reason").write.mode("append").parquet(f"{self.root}/rejected")
+        new = ingest.fold(self.docs(), ops.withColumn("tags", clean_tags(F.col("tags"))))
         self._save(with_indexes(new, config), config)
 
+    def rejected(self) -> DataFrame:
+        """(seq, op, doc_id, doc_ts, reason) of the operations that were left out."""
+        kind = "seq long, op string, doc_id string, doc_ts timestamp, reason string"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/rejected")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(f"{self.root}/rejected")
+
     def apply_stream(self, ops: DataFrame, checkpoint: str):
         """Apply a stream of operations, one micro-batch at a time; a single writer."""
         return ops.writeStream.foreachBatch(lambda df, _: self.apply(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

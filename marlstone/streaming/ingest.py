@@ -80,8 +80,8 @@ def queue_counts(queue: DataFrame) -> DataFrame:
 
 
 def status_view(stored: DataFrame, queue: DataFrame) -> DataFrame:
-    """(doc_id, status, ts) of what is indexed and what waits or failed."""
-    return stored.select("doc_id", F.lit("indexed").alias("status"), "ts").unionByName(queue.select("doc_id", "status", "ts"))
+    """(doc_id, status, ts) of what is indexed and what waits or failed, the newest first."""
+    return stored.select("doc_id", F.lit("indexed").alias("status"), "ts").unionByName(queue.select("doc_id", "status", "ts")).orderBy(F.desc("ts"), "doc_id", "status")
 
 
 def split_valid(ops: DataFrame, rule: Column, reason: str) -> tuple[DataFrame, DataFrame]:

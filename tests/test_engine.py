@@ -21,17 +21,17 @@ META = {"author": "string", "year": "integer", "rating": "float", "published": "
 @pytest.fixture(scope="module")
 def people(spark):
     d = lambda y, m, x: datetime(y, m, x, tzinfo=UTC)
-    rows = [(1, "Alice", 2021, 4.2, False, d(2021, 1, 1)), (2, "Bob", 2023, 4.8, True, d(2023, 6, 10)), (3, "Carol", 2024, 3.5, False, d(2024, 2, 20)), (4, None, None, None, None, None)]
+    rows = [(1, "Ines", 2021, 4.2, False, d(2021, 1, 1)), (2, "Omar", 2023, 4.8, True, d(2023, 6, 10)), (3, "Yuki", 2024, 3.5, False, d(2024, 2, 20)), (4, None, None, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, meta_author string, meta_year long, meta_rating double, meta_published boolean, meta_created_at timestamp")
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ('author = "Alice"', {1}), ("year > 2022", {2, 3}), ("year >= 2022 AND published = true", {2}), ('author = "Alice" OR rating < 4', {1, 3}), ("NOT published = true", {1, 3}),
-        ('NOT (year > 2022 AND author = "Bob")', {1, 3}), ('created_at >= "2023-01-01T00:00:00Z"', {2, 3}), ("author IS NULL", {4}), ("author is not null and year < 2024", {1, 2}),
-        ('author != "Alice"', {2, 3}), ('author = "Alice" OR author = "Bob" AND year = 2023', {1, 2}), ("rating >= 4", {1, 2}), ({"not": {"key": "year", "gt": 2022}}, {1}), ({"key": "year", "gt": 2020, "lt": 2024}, {1, 2}),
-        ({"or": [{"key": "author", "is_null": True}, {"key": "author", "eq": "Bob"}]}, {2, 4}), ({"key": "created_at", "lt": {"value": "2022-01-01", "type": "datetime"}}, {1}),
+        ('author = "Ines"', {1}), ("year > 2022", {2, 3}), ("year >= 2022 AND published = true", {2}), ('author = "Ines" OR rating < 4', {1, 3}), ("NOT published = true", {1, 3}),
+        ('NOT (year > 2022 AND author = "Omar")', {1, 3}), ('created_at >= "2023-01-01T00:00:00Z"', {2, 3}), ("author IS NULL", {4}), ("author is not null and year < 2024", {1, 2}),
+        ('author != "Ines"', {2, 3}), ('author = "Ines" OR author = "Omar" AND year = 2023', {1, 2}), ("rating >= 4", {1, 2}), ({"not": {"key": "year", "gt": 2022}}, {1}), ({"key": "year", "gt": 2020, "lt": 2024}, {1, 2}),
+        ({"or": [{"key": "author", "is_null": True}, {"key": "author", "eq": "Omar"}]}, {2, 4}), ({"key": "created_at", "lt": {"value": "2022-01-01", "type": "datetime"}}, {1}),
     ],
 )
 def test_filters(people, text, want):
@@ -57,7 +57,7 @@ def test_filter_object_errors(d):
 
 
 def test_two_valued_logic_keeps_nulls(people):
-    tree = filters.parse('NOT author = "Alice"')
+    tree = filters.parse('NOT author = "Ines"')
     assert {r.doc_id for r in people.where(filters.to_column(tree, META, two_valued=True)).collect()} == {2, 3, 4}
 
 
@@ -156,41 +156,41 @@ def test_collection(spark, tmp_path):
     with pytest.raises(NotFound):
         Collection.open(spark, path, "none")
     c.apply(upserts(spark, [
-        {"id": "order_py", "name": "Python deep dive", "content": "x", "meta": '{"category": "a", "year": 2020}', "tags": ["article"]},
-        {"id": "order_ml", "name": "Machine Learning", "content": "mentions python", "meta": '{"category": "a", "year": 2021}', "tags": ["article", "tutorial"]},
+        {"id": "note_kiln", "name": "Kiln firing guide", "content": "x", "meta": '{"category": "a", "year": 2020}', "tags": ["article"]},
+        {"id": "note_loom", "name": "Weaving at home", "content": "a kiln in passing", "meta": '{"category": "a", "year": 2021}', "tags": ["article", "tutorial"]},
         {"id": "other", "name": "Zebra", "content": "quux", "meta": '{"category": "b", "year": 2020}'},
     ]))
     assert Collection.names(spark, path) == ["docs"] and c.count() == 3
     arms = [Arm("tri", "name", 0.7), Arm("tri", "content", 0.3)]
-    hits = c.search(SearchRequest("python", arms)).results.collect()
-    assert [h.doc_id for h in hits][:2] == ["order_py", "order_ml"]
-    assert [h.doc_id for h in c.search(SearchRequest("python", arms, where="year > 2020")).results.collect()] == ["order_ml"]
-    assert {h.doc_id for h in c.search(SearchRequest("python", arms, tags=["tutorial", "none"])).results.collect()} == {"order_ml"}
-    assert c.search(SearchRequest("python", arms, tags=["article", "tutorial"], tags_match_all=True)).results.count() == 1
-    out = c.search(SearchRequest("python", arms, facets=FacetOptions(), exclude=["content", "metadata"], raw_scores=True))
+    hits = c.search(SearchRequest("kiln", arms)).results.collect()
+    assert [h.doc_id for h in hits][:2] == ["note_kiln", "note_loom"]
+    assert [h.doc_id for h in c.search(SearchRequest("kiln", arms, where="year > 2020")).results.collect()] == ["note_loom"]
+    assert {h.doc_id for h in c.search(SearchRequest("kiln", arms, tags=["tutorial", "none"])).results.collect()} == {"note_loom"}
+    assert c.search(SearchRequest("kiln", arms, tags=["article", "tutorial"], tags_match_all=True)).results.count() == 1
+    out = c.search(SearchRequest("kiln", arms, facets=FacetOptions(), exclude=["content", "metadata"], raw_scores=True))
     assert {(r.field, r.value): r.n for r in out.facets.collect()} == {("category", "a"): 2, ("year", "2020"): 1, ("year", "2021"): 1}
     first = out.results.first()
     assert first.content is None and first.metadata is None and {x.field for x in first.raw} <= {"name", "content"}
-    grouped = c.search(SearchRequest("python", arms, group_field="category", group_max=1)).results.collect()
+    grouped = c.search(SearchRequest("kiln", arms, group_field="category", group_max=1)).results.collect()
     assert [h.meta_category for h in grouped] == ["a"]
     kids = Collection.create(spark, path, "kids", CollectionConfig([], {"parent_ref": "string", "role": "string"}))
-    kids.apply(upserts(spark, [{"id": "k1", "meta": '{"parent_ref": "order_py", "role": "primary"}'}, {"id": "k2", "meta": '{"parent_ref": "order_py", "role": "secondary"}'}]))
-    joined = c.search(SearchRequest("python", arms, join='kids[$id=$$.meta.parent_ref](role = "primary")')).results.collect()
-    assert {h.doc_id: [k.doc_id for k in h.joined_kids] for h in joined} == {"order_py": ["k1"], "order_ml": []}
+    kids.apply(upserts(spark, [{"id": "k1", "meta": '{"parent_ref": "note_kiln", "role": "primary"}'}, {"id": "k2", "meta": '{"parent_ref": "note_kiln", "role": "secondary"}'}]))
+    joined = c.search(SearchRequest("kiln", arms, join='kids[$id=$$.meta.parent_ref](role = "primary")')).results.collect()
+    assert {h.doc_id: [k.doc_id for k in h.joined_kids] for h in joined} == {"note_kiln": ["k1"], "note_loom": []}
     assert kids.search(SearchRequest("anything")).results.count() == 0  # only the empty vector
     with pytest.raises(ValidationError):
         c.search(SearchRequest("x", arms, join="kids[$id=$$.meta.nothing]"))
     with pytest.raises(ValidationError):
         c.search(SearchRequest("x", [Arm("nope", "name")]))
     late, early = datetime(2024, 1, 2, tzinfo=UTC), datetime(2023, 1, 1, tzinfo=UTC)
-    c.apply(upserts(spark, [{"id": "order_py", "name": "Stale", "ts": early}, {"id": "other", "name": "Fresh", "ts": late}, {"id": "order_ml", "op": "delete", "ts": late}]))
-    assert {r.doc_id: r.name for r in c.docs().collect()} == {"order_py": "Python deep dive", "other": "Fresh"}
-    assert [r["doc_id"] for r in c.get(["other", "order_py"])] == ["other", "order_py"]
+    c.apply(upserts(spark, [{"id": "note_kiln", "name": "Stale", "ts": early}, {"id": "other", "name": "Fresh", "ts": late}, {"id": "note_loom", "op": "delete", "ts": late}]))
+    assert {r.doc_id: r.name for r in c.docs().collect()} == {"note_kiln": "Kiln firing guide", "other": "Fresh"}
+    assert [r["doc_id"] for r in c.get(["other", "note_kiln"])] == ["other", "note_kiln"]
     with pytest.raises(NotFound):
         c.get(["other", "gone"])
     page, after = c.fetch(1)
     rest, end = c.fetch(1, after)
-    assert [r["doc_id"] for r in page + rest] == ["order_py", "other"] and end is None
+    assert [r["doc_id"] for r in page + rest] == ["note_kiln", "other"] and end is None
     c.export(f"file://{tmp_path}/out")
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
     c.empty()
