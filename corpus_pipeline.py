@@ -44,7 +44,8 @@ STAGES = [
     ("SentencePiece", in_pieces),
 ]
 
-#: The classifiers, Order MinHash and merge-dropout are not expressible in SQL; the tests hold each stage against plain versions.
+#: The classifiers, Order MinHash and merge-dropout are not expressible in SQL; the tests hold near-dedup, decontamination and
+#: merge-dropout against plain versions, and the classifiers against held-out labels.
 ORACLE_SQL = None
 
 
