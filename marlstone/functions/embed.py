@@ -47,15 +47,35 @@ def token_ids(col: Column) -> Column:
     return run(col)
 
 
+class _Places(dict):
+    """The place of a word in the counts, 2 * dimension + sign; words met before are not hashed again, of which a bounded number is kept."""
+
+    KEEP, LONGEST = 200_000, 64
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        h = murmur3(word.encode())
+        place = 2 * (h % self.dims) + ((h >> 16) & 1)
+        if len(self) < self.KEEP and len(word) <= self.LONGEST:
+            self[word] = place
+        return place
+
+
 def hashing_embedder(dims: int = 64, normalize: bool = True) -> Embedder:
-    """Signed hashing of words: deterministic, for tests and as a fallback."""
+    """Signed hashing of words: deterministic, for tests and as a fallback.
+
+    A text without words, or whose words cancel out, has the zero vector."""
+    places = _Places(dims)
 
     def run(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = murmur3(w.encode())
-                out[i, h % dims] += 1 if (h >> 16) & 1 else -1
+            found = np.fromiter(map(places.__getitem__, t.lower().split()), np.int64)
+            counts = np.bincount(found, minlength=2 * dims)
+            out[i] = counts[1::2] - counts[::2]
         if normalize:
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
         return out
@@ -63,17 +83,25 @@ def hashing_embedder(dims: int = 64, normalize: bool = True) -> Embedder:
     return run
 
 
+#: Arrow batches of texts hold about this much: by default a task gathers 64 MB of them on the JVM's heap, next to the rows themselves.
+BATCH_BYTES = 2 << 20
+
+
 def embed(df: DataFrame, text: str, embedder: Callable[[], Embedder], name: str = "embedding", batch: int = 256) -> DataFrame:
-    """``df`` with the vectors of a text column; ``embedder()`` is called once a task, so that a model is loaded once."""
+    """``df`` with the vectors of a text column; ``embedder()`` is called once a task, so that a model is loaded once.
+
+    Each text is embedded once: called deterministic, the function would run again for every filter on its vectors.
+    The session's bound on the bytes of an Arrow batch is lowered to BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = embedder()
         for s in parts:
             texts = s.fillna("").tolist()
-            yield pd.Series([v.tolist() for i in range(0, len(texts), batch) for v in own(texts[i : i + batch])], index=s.index, dtype=object)
+            yield pd.Series([v for i in range(0, len(texts), batch) for v in np.asarray(own(texts[i : i + batch]), np.float32)], index=s.index, dtype=object)
 
-    return df.withColumn(name, run(F.col(text)))
+    return df.withColumn(name, run.asNondeterministic()(F.col(text)))
 
 
 def max_log_weights(df: DataFrame, text: str, top_k: int = 128, name: str = "sparse") -> DataFrame:

@@ -31,12 +31,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearness(a: Column, b: Column, distance: str) -> Column:
-    """1 - distance: cosine distance, negative inner product, or Euclidean distance."""
+    """1 - distance: cosine distance, negative inner product, or Euclidean distance.
+
+    The cosine of a zero vector is NaN, as in SQL engines that divide after IEEE 754; Spark's own division would end the query."""
     if distance == "dot":
         return 1 + dot(a, b)
     if distance == "euclid":
         return 1 - F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    product = dot(a, b)
+    return F.coalesce(F.try_divide(product, F.sqrt(dot(a, a) * dot(b, b))), product * F.lit(float("inf")))
 
 
 def dense(vectors: DataFrame, query: list[float], distance: str = "cosine", vector: str = "embedding") -> DataFrame:

@@ -551,8 +551,11 @@ def prometheus_lines(spark, sf_dir):
 
 @query()
 def hash_embed_search(spark, sf_dir):
-    """A deterministic embedder in Python: held against a plain version in the tests."""
-    made = embed.embed(docs(spark, sf_dir).select("doc_id", "content"), "content", lambda: embed.hashing_embedder(64), "content_v")
+    """A deterministic embedder in Python: held against a plain version in the tests.
+
+    A zero vector, of a text without words or whose words cancel out, has no direction and is not found."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    made = embed.embed(texts, "content", lambda: embed.hashing_embedder(64), "content_v").where(F.exists("content_v", lambda x: x != 0))
     scored = A.dense(made, embed.hashing_embedder(64)([QUERY])[0].tolist(), "cosine", "content_v")
     return scored.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 

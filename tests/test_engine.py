@@ -11,6 +11,7 @@ from marlstone.config import Arm, CollectionConfig, FacetOptions, SearchRequest,
 from marlstone.errors import Conflict, NotFound, ValidationError
 from marlstone.functions import embed, stemming
 from marlstone.functions import text as T
+from marlstone.operators import arms as A
 from marlstone.operators import filters, fusion, grouping, joins
 from marlstone.sources.collection import Collection
 from marlstone.streaming import ingest, metrics
@@ -113,6 +114,51 @@ def test_murmur():
     assert 0 <= embed.token_id("x") < 2**31
 
 
+def test_hash_embed_search(spark, tmp_path):
+    import numpy as np
+
+    from marlstone.plans import queries
+
+    sign = {w: (embed.murmur3(w.encode()) % 64, (embed.murmur3(w.encode()) >> 16) & 1) for w in (f"w{i}" for i in range(400))}
+    cancel = next(f"{a} {b}" for a in sign for b in sign if sign[a][0] == sign[b][0] and sign[a][1] > sign[b][1])
+    texts = ["", None, " \n ", cancel, "The and of", "the w1 w1 OF", "x" * 5000 + " and", *(f"the w{i} w{i % 7} of{' and' * (i % 3)}" for i in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def plain(text):
+        v = np.zeros(64)
+        for w in (text or "").lower().split():
+            h = embed.murmur3(w.encode())
+            v[h % 64] += 1 if (h >> 16) & 1 else -1
+        return v
+
+    q = plain(queries.QUERY)
+    want = sorted((-round(float(v @ q / np.sqrt((v @ v) * (q @ q))), 6), i) for i, v in enumerate(map(plain, texts)) if v.any())[:20]
+    found = queries.hash_embed_search(spark, str(tmp_path))
+    got = found.collect()
+    assert [r.doc_id for r in got] == [i for _, i in want] and [r.score for r in got] == pytest.approx([-x for x, _ in want], abs=2e-6)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # each text is embedded once
+
+
+def test_embed_batches_are_bounded_in_bytes(spark):
+    import numpy as np
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+    made = embed.embed(df, "text", lambda: lambda texts: np.full((len(texts), 1), len(texts)), "v", 10_000)
+    assert made.agg(F.max(F.col("v")[0])).first()[0] <= 12
+
+
+def test_cosine_of_zero_vectors(spark):
+    import duckdb
+
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 2.0]), (2, None), (3, [-2.0, 1.0])]
+    got = A.dense(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), [1.0, 2.0]).orderBy("doc_id").collect()
+    sql = "SELECT list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) FROM (SELECT ?::DOUBLE[] AS a, [1, 2]::DOUBLE[] AS b)"
+    want = [(i, duckdb.execute(sql, [v]).fetchall()[0][0]) for i, v in rows if v]
+    assert [r.doc_id for r in got] == [i for i, _ in want] and [r.score for r in got] == pytest.approx([x for _, x in want], nan_ok=True)
+
+
 def brute_fold(ops, stored):
     """Operation by operation, with a queue from which deletes cancel."""
     state = dict(stored)
