@@ -47,15 +47,18 @@ def logit(p):
 
 
 class Logistic:
-    """p = sigmoid(sparse . w + standardised dense . v + bias), L2-regularised, fitted by L-BFGS."""
+    """p = sigmoid(sparse . w + standardised dense . v + bias), L2-regularised, fitted by L-BFGS.
 
-    def __init__(self, l2: float = 1.0, steps: int = 150):
-        self.l2, self.steps = l2, steps
+    The last ``unscaled`` dense columns keep their scale: probabilities that hardly differ in training are not blown up."""
+
+    def __init__(self, l2: float = 1.0, steps: int = 150, unscaled: int = 0):
+        self.l2, self.steps, self.unscaled = l2, steps, unscaled
 
     def fit(self, dense: np.ndarray, y: np.ndarray, sparse: Sparse | None = None) -> Logistic:
         n, d = dense.shape
         self.mean = dense.mean(axis=0) if n else np.zeros(d)
         self.scale = (dense.std(axis=0) if n else np.ones(d)) + 1e-9
+        self.scale[d - self.unscaled :] = 1
         k = sparse.n if sparse else 0
         rate = (y.sum() + 0.5) / (n + 1)
         self.w, self.v, self.bias = np.zeros(k), np.zeros(d), float(logit(rate))

@@ -3,7 +3,9 @@
 Categories are predicted one after another, each by a linear model over the words of a text, numbers
 of its style, and the probabilities of the categories before it. While training, those earlier
 probabilities are out-of-fold predictions, so a later model sees them as good as they will be: for
-each fold both the model and its terms come from the other folds.
+each fold both the model and its terms come from the other folds. They enter the later models unscaled:
+where a category is all but missing, the folds' probabilities differ by next to nothing, and the model
+of all rows gives others; standardised, that difference would outweigh the words.
 
 The models are fitted on the driver on at most ``TRAIN_ROWS`` labelled documents; terms are chosen on
 the same sample by their log-odds. Every document is scored, over its whole text.
@@ -57,8 +59,8 @@ def fit_chain(dense: np.ndarray, sparse: Sparse, labels: np.ndarray, folds: np.n
         for f in range(FOLDS):
             test, train = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
             if len(test):
-                p[test] = Logistic().fit(x[train], y[train], by_fold[f].take(train)).predict(x[test], by_fold[f].take(test))
-        models.append(Logistic().fit(x, y, whole))
+                p[test] = Logistic(unscaled=c).fit(x[train], y[train], by_fold[f].take(train)).predict(x[test], by_fold[f].take(test))
+        models.append(Logistic(unscaled=c).fit(x, y, whole))
         cuts.append(best_threshold(p, y) if len(set(y.tolist())) == 2 else 1.1)
         out = np.column_stack([out, p])
     return models, cuts, out

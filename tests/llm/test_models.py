@@ -54,6 +54,22 @@ def test_toxicity(spark, labelled):
     assert toxicity.reject(docs.limit(0), some).count() == 0
 
 
+def test_toxicity_where_low_quality_is_missing():
+    """After the quality stage: the first link's probabilities then tell folds apart, and must not move the second."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        n, k = 3000, 300
+        y = (rng.random(n) < 0.12).astype(float)
+        rows = [sorted({*rng.integers(60, k, 20), *(rng.integers(0, 60, rng.integers(1, 4)) if t else [])}) for t in y]
+        dense, sparse, folds = rng.normal(size=(n, 3)), Sparse(rows, k), rng.choice(5, n, p=[0.1, 0.15, 0.2, 0.25, 0.3])
+        labels = np.column_stack([np.zeros(n), y])
+        models, cuts, out = toxicity.fit_chain(dense, sparse, labels, folds, [np.ones(k, bool)] * 6)
+        p = toxicity.Chain(["low_quality", "toxic"], [], models, cuts).predict(dense, sparse)
+        as_trained = models[1].predict(np.column_stack([dense, out[:, 0]]), sparse)
+        assert np.abs(p[:, 1] - as_trained).max() < 0.01
+        assert (p[y == 1, 1] >= cuts[1]).mean() >= (out[y == 1, 1] >= cuts[1]).mean()  # what it has seen it finds as well as what it has not
+
+
 def test_quality(spark, labelled):
     docs, some, labels = labelled
     model = quality.train(docs, some)
